@@ -1,0 +1 @@
+"""Empty on purpose: no streaming operator is in scope yet (see README)."""

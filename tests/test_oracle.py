@@ -1,0 +1,38 @@
+import pytest
+from oracle import assert_same, run_sql
+
+import __spark_entry__ as contract
+
+SCALES = ["sf0.001", "sf0.01", "sf0.1"]
+
+
+@pytest.mark.parametrize("scale", SCALES)
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_query_matches_sql(spark, name, scale):
+    sf_dir = f"/root/testdata/{scale}"
+    assert_same(contract.queries()[name](spark, sf_dir), sf_dir, contract.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("scale", SCALES)
+def test_plain_double_sum_rounds_to_the_exact_one(spark, scale):
+    sf_dir = f"/root/testdata/{scale}"
+    exact = contract.oracle_sql()["returned_revenue_by_region_year"]
+    head, _, tail = exact.partition("CAST(round(")
+    _, _, tail = tail.partition("AS revenue")
+    plain = head + "round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue" + tail
+    assert run_sql(sf_dir, plain) == run_sql(sf_dir, exact)
+
+
+def test_every_query_has_sql():
+    assert contract.queries().keys() == contract.oracle_sql().keys()
+
+
+def test_entry_gives_rows_with_the_stated_schema(spark):
+    frame = contract.entry(spark)
+    assert frame.dtypes == [
+        ("r_name", "string"),
+        ("o_year", "bigint"),
+        ("n_lines", "bigint"),
+        ("revenue", "double"),
+    ]
+    assert frame.count() == 10
