@@ -17,6 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOW_BITS = 20
+
+# In parts. Wide enough for the last digits of a double that stands for a number
+# of cents (1.1400000000000001), far too narrow for another amount.
 TOLERANCE = 1e-3
 
 

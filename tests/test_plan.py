@@ -1,0 +1,95 @@
+"""The plan is the one meant for large tables: what is read, shuffled and joined."""
+
+import re
+from contextlib import redirect_stdout
+from io import StringIO
+
+import pytest
+
+from millrace.plans import returned_revenue_from
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def plan(frame):
+    """The formatted plan, every node with its details, before adaptive changes."""
+    with redirect_stdout(StringIO()) as printed:
+        frame.explain("formatted")
+    return printed.getvalue()
+
+
+def node(text, table):
+    """Details of the Parquet scan of one table."""
+    blocks = re.split(r"\n\n+", text)
+    return next(b for b in blocks if "Scan parquet" in b and f"/{table}.parquet" in b)
+
+
+@pytest.fixture
+def shuffled(spark, conf):
+    """The plan when no side may be broadcast, as with large tables."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return plan(returned_revenue_from(spark, SF_DIR))
+
+
+@pytest.fixture
+def small(spark):
+    return plan(returned_revenue_from(spark, SF_DIR))
+
+
+@pytest.mark.parametrize(
+    "table, columns",
+    [
+        ("lineitem", "l_orderkey l_extendedprice l_discount l_returnflag"),
+        ("orders", "o_orderkey o_custkey o_orderdate"),
+        ("customer", "c_custkey c_nationkey"),
+        ("nation", "n_nationkey n_regionkey"),
+        ("region", "r_regionkey r_name"),
+    ],
+)
+def test_only_the_columns_used_are_read(shuffled, table, columns):
+    read = re.search(r"ReadSchema: struct<(.*)>", node(shuffled, table)).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == set(columns.split())
+
+
+def test_filters_reach_the_scans(shuffled):
+    lineitem, orders = node(shuffled, "lineitem"), node(shuffled, "orders")
+    assert "EqualTo(l_returnflag,R)" in lineitem
+    assert "IsNotNull(l_orderkey)" in lineitem
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in orders
+    assert "LessThan(o_orderdate,1998-01-01T00:00)" in orders
+    assert "IsNotNull(o_custkey)" in orders
+
+
+def exchanges(text):
+    return re.findall(r"Arguments: hashpartitioning\((\w+)#", text)
+
+
+def test_each_table_is_shuffled_once_per_join(shuffled):
+    keys = exchanges(shuffled)
+    assert keys.count("l_orderkey") == 1
+    assert keys.count("o_orderkey") == 1
+    assert keys.count("o_custkey") == 1
+    assert keys.count("c_custkey") == 1
+    assert keys.count("c_nationkey") == 1
+
+
+def test_totals_are_taken_on_both_sides_of_the_shuffle(shuffled):
+    for key in ("l_orderkey", "o_custkey", "c_nationkey", "r_name"):
+        assert len(re.findall(rf"HashAggregate.*\n(?:Input.*\n)Keys \[1\]: \[{key}#", shuffled)) == 2
+
+
+def test_large_sides_are_sort_merged(shuffled):
+    assert "CartesianProduct" not in shuffled and "NestedLoop" not in shuffled
+    assert "Broadcast" not in shuffled
+    assert len(re.findall(r"\(\d+\) SortMergeJoin", shuffled)) == 4
+
+
+def test_sides_below_the_threshold_are_broadcast(small):
+    assert "CartesianProduct" not in small and "NestedLoop" not in small
+    assert len(re.findall(r"\(\d+\) BroadcastHashJoin", small)) == 4
+
+
+def test_nothing_runs_in_python_or_on_one_task(shuffled):
+    assert "Python" not in shuffled and "Arrow" not in shuffled
+    assert "SinglePartition" not in shuffled
+    assert "ObjectHashAggregate" not in shuffled and "SortAggregate" not in shuffled

@@ -1,0 +1,238 @@
+"""Edge cases on small hand-made tables, against brute force in Python."""
+
+from collections import defaultdict
+from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from millrace.plans import returned_revenue
+
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_extendedprice double, l_discount double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+DAY = datetime(1996, 5, 1)
+
+SMALL = {
+    "lineitem": [(1, 100.0, 0.1, "R"), (1, 50.25, 0.0, "R"), (2, 10.0, 0.05, "R")],
+    "orders": [(1, 1, DAY), (2, 2, datetime(1997, 5, 1))],
+    "customer": [(1, 1), (2, 2)],
+    "nation": [(1, 1), (2, 2)],
+    "region": [(1, "ASIA"), (2, "EUROPE")],
+}
+
+
+def run(spark, tables, **options):
+    frames = [spark.createDataFrame(tables[name], SCHEMAS[name]) for name in SCHEMAS]
+    return [tuple(row) for row in returned_revenue(*frames, **options).collect()]
+
+
+def brute_force(tables, start=datetime(1996, 1, 1), end=datetime(1998, 1, 1), flag="R"):
+    """Every combination of five rows that match; null matches nothing."""
+
+    def same(a, b):
+        return a is not None and a == b
+
+    groups = defaultdict(list)
+    for l_key, price, discount, l_flag in tables["lineitem"]:
+        if l_flag != flag:
+            continue
+        for o_key, o_cust, date in tables["orders"]:
+            if not same(l_key, o_key) or date is None or not start <= date < end:
+                continue
+            for c_key, c_nation in tables["customer"]:
+                if not same(o_cust, c_key):
+                    continue
+                for n_key, n_region in tables["nation"]:
+                    if not same(c_nation, n_key):
+                        continue
+                    for r_key, name in tables["region"]:
+                        if same(n_region, r_key):
+                            groups[name, date.year].append((price, discount))
+    rows = []
+    for (name, year), lines in groups.items():
+        paid = [
+            Decimal(str(p)) * (1 - Decimal(str(d)))
+            for p, d in lines
+            if p is not None and d is not None
+        ]
+        revenue = sum(paid).quantize(Decimal("0.01"), ROUND_HALF_UP) if paid else None
+        rows.append((name, year, len(lines), None if revenue is None else float(revenue)))
+    return sorted(rows, key=lambda row: (row[0] is None, row[0] or "", row[1]))
+
+
+def changed(**tables):
+    return {**SMALL, **tables}
+
+
+def check(spark, tables, **options):
+    rows = run(spark, tables, **options)
+    assert rows == brute_force(tables, **options)
+    return rows
+
+
+def test_small_tables(spark):
+    assert check(spark, SMALL) == [("ASIA", 1996, 2, 140.25), ("EUROPE", 1997, 1, 9.5)]
+
+
+@pytest.mark.parametrize("name", list(SCHEMAS))
+def test_an_empty_table_gives_no_rows(spark, name):
+    assert check(spark, changed(**{name: []})) == []
+
+
+def test_null_keys_dates_and_flags_match_nothing(spark):
+    rows = check(
+        spark,
+        {
+            "lineitem": SMALL["lineitem"] + [(None, 1.0, 0.0, "R"), (1, 1.0, 0.0, None)],
+            "orders": SMALL["orders"] + [(None, 1, DAY), (3, None, DAY), (1, 1, None)],
+            "customer": SMALL["customer"] + [(None, 1), (3, None)],
+            "nation": SMALL["nation"] + [(None, 1), (3, None)],
+            "region": SMALL["region"] + [(None, "NOWHERE")],
+        },
+    )
+    assert rows == check(spark, SMALL)
+
+
+def test_null_amounts_count_as_lines_but_add_nothing(spark):
+    lines = [(1, None, 0.1, "R"), (1, 20.0, None, "R"), (2, 10.0, 0.0, "R"), (2, None, 0.0, "R")]
+    rows = check(spark, changed(lineitem=lines))
+    assert rows == [("ASIA", 1996, 2, None), ("EUROPE", 1997, 2, 10.0)]
+
+
+def test_region_without_a_name_is_a_group_and_comes_last(spark):
+    rows = check(spark, changed(region=[(1, None), (2, "EUROPE")]))
+    assert [row[0] for row in rows] == ["EUROPE", None]
+
+
+def test_regions_that_share_a_name_are_one_group(spark):
+    rows = check(spark, changed(region=[(1, "ONE"), (2, "ONE")]))
+    assert rows == [("ONE", 1996, 2, 140.25), ("ONE", 1997, 1, 9.5)]
+
+
+def test_start_is_included_and_end_is_not(spark):
+    tick = timedelta(microseconds=1)
+    start, end = datetime(1996, 1, 1), datetime(1998, 1, 1)
+    dates = [start - tick, start, end - tick, end]
+    rows = check(
+        spark,
+        changed(
+            orders=[(key, 1, date) for key, date in enumerate(dates)],
+            lineitem=[(key, 10.0 ** (key + 1), 0.0, "R") for key in range(len(dates))],
+        ),
+    )
+    assert rows == [("ASIA", 1996, 1, 100.0), ("ASIA", 1997, 1, 1000.0)]
+
+
+def test_result_does_not_depend_on_the_session_zone(spark, conf):
+    edges = changed(
+        orders=[(1, 1, datetime(1996, 1, 1)), (2, 2, datetime(1997, 12, 31, 23, 59, 59))]
+    )
+    for zone in ("America/Los_Angeles", "Asia/Tokyo"):
+        conf("spark.sql.session.timeZone", zone)
+        assert check(spark, edges) == [("ASIA", 1996, 2, 140.25), ("EUROPE", 1997, 1, 9.5)]
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        (datetime(1996, 1, 1), datetime(1997, 1, 1)),
+        (datetime(1996, 4, 30, 12), datetime(1997, 5, 1, 0, 0, 1)),
+        (datetime(1990, 1, 1), datetime(2000, 6, 1)),
+        (datetime(2010, 1, 1), datetime(2012, 1, 1)),
+    ],
+)
+def test_other_ranges(spark, start, end):
+    check(spark, SMALL, start=start, end=end)
+
+
+def test_range_has_to_run_forward(spark):
+    with pytest.raises(ValueError, match="not before"):
+        run(spark, SMALL, start=DAY, end=DAY)
+
+
+def test_other_flags(spark):
+    lines = SMALL["lineitem"] + [(1, 7.0, 0.0, "A"), (2, 8.0, 0.5, "A")]
+    assert check(spark, changed(lineitem=lines), flag="A") == [
+        ("ASIA", 1996, 1, 7.0),
+        ("EUROPE", 1997, 1, 4.0),
+    ]
+
+
+def test_repeated_dimension_keys_multiply_as_in_a_row_by_row_join(spark):
+    check(
+        spark,
+        {name: rows + rows[:1] if name != "lineitem" else rows for name, rows in SMALL.items()},
+    )
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_a_third_of_all_rows_on_one_key(spark, conf, threshold):
+    conf("spark.sql.autoBroadcastJoinThreshold", threshold)
+    orders = [
+        (key, 0 if key % 3 == 0 else key % 40, DAY + timedelta(days=key)) for key in range(300)
+    ]
+    lines = [
+        (7 if i % 3 == 0 else i % 320, (100 + i) / 100, i % 11 / 100, "RAN"[i % 2])
+        for i in range(3000)
+    ]
+    check(
+        spark,
+        {
+            "lineitem": lines,
+            "orders": orders,
+            "customer": [(key, 0 if key % 3 == 0 else key % 5) for key in range(40)],
+            "nation": [(key, key % 2) for key in range(5)],
+            "region": SMALL["region"] + [(0, "AFRICA")],
+        },
+    )
+
+
+def test_half_cents_round_away_from_zero(spark):
+    # 0.10 * (1 - 0.05) = 0.095, which as a double sum may fall to either side.
+    lines = [(1, 0.1, 0.05, "R"), (2, -0.1, 0.05, "R")]
+    assert check(spark, changed(lineitem=lines)) == [
+        ("ASIA", 1996, 1, 0.1),
+        ("EUROPE", 1997, 1, -0.1),
+    ]
+
+
+@pytest.mark.parametrize("line", [(1, 10.005, 0.0, "R"), (1, 10.0, 0.055, "R"), (1, float("nan"), 0.0, "R")])
+def test_an_amount_that_is_not_whole_parts_fails_the_query(spark, line):
+    with pytest.raises(Exception, match="not a whole number of 1/100 parts"):
+        run(spark, changed(lineitem=[line]))
+
+
+key = st.one_of(st.none(), st.integers(0, 3))
+date = st.one_of(
+    st.none(),
+    st.datetimes(datetime(1995, 12, 30), datetime(1998, 1, 2)),
+)
+cents = st.one_of(st.none(), st.integers(-10_000_000, 10_000_000).map(lambda c: c / 100))
+percent = st.one_of(st.none(), st.integers(0, 100).map(lambda p: p / 100))
+some = dict(max_size=6)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.fixed_dictionaries(
+        {
+            "lineitem": st.lists(
+                st.tuples(key, cents, percent, st.sampled_from(["R", "R", "A", None])), max_size=20
+            ),
+            "orders": st.lists(st.tuples(key, key, date), **some),
+            "customer": st.lists(st.tuples(key, key), **some),
+            "nation": st.lists(st.tuples(key, key), **some),
+            "region": st.lists(st.tuples(key, st.sampled_from(["A", "B", None])), **some),
+        }
+    )
+)
+def test_any_small_tables(spark, tables):
+    check(spark, tables)
