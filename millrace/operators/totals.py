@@ -20,7 +20,9 @@ def total_by(frame: DataFrame, key: str, measures: Iterable[str]) -> DataFrame:
 
 
 def spread_names(measures: Iterable[str], values: Iterable[int]) -> list[str]:
-    return [f"{m}_{v}" for v in values for m in measures]
+    """Names of the columns made by ``spread``, in its order."""
+    measures = list(measures)
+    return [_spread_name(m, v) for v in values for m in measures]
 
 
 def spread(measures: Iterable[str], by: str, values: Iterable[int]) -> list[Column]:
@@ -32,7 +34,9 @@ def spread(measures: Iterable[str], by: str, values: Iterable[int]) -> list[Colu
     """
     measures = list(measures)
     return [
-        F.when(F.col(by) == v, F.col(m)).alias(f"{m}_{v}") for v in values for m in measures
+        F.when(F.col(by) == v, F.col(m)).alias(_spread_name(m, v))
+        for v in values
+        for m in measures
     ]
 
 
@@ -44,8 +48,12 @@ def gather(
     rows = [
         F.struct(
             F.lit(v).cast("bigint").alias(by),
-            *[F.col(f"{m}_{v}").alias(m) for m in measures],
+            *[F.col(_spread_name(m, v)).alias(m) for m in measures],
         )
         for v in values
     ]
     return frame.select(keep, F.inline(F.array(*rows)))
+
+
+def _spread_name(measure: str, value: int) -> str:
+    return f"{measure}_{value}"
