@@ -1,0 +1,44 @@
+"""Run by test_failures.py in its own process: retries need another master.
+
+Every task that reads lines or orders sends part of its rows on and then dies,
+once. Prints the result as JSON.
+"""
+
+import json
+import sys
+
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+
+from millrace.plans import returned_revenue
+from millrace.sources import read_table
+
+
+def dies_at_first(frame):
+    def run(batches):
+        first = TaskContext.get().attemptNumber() == 0
+        for batch in batches:
+            yield batch
+            if first:
+                raise RuntimeError("lost on purpose")
+
+    return frame.repartition(4).mapInPandas(run, frame.schema)
+
+
+spark = (
+    SparkSession.builder.master("local[4,2]")
+    .config("spark.ui.enabled", "false")
+    .config("spark.sql.shuffle.partitions", "8")
+    .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+    .config("spark.sql.session.timeZone", "UTC")
+    .config("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    .getOrCreate()
+)
+spark.sparkContext.setLogLevel("WARN")  # so that the test sees the failures
+lineitem, orders, *rest = (
+    read_table(spark, sys.argv[1], name)
+    for name in ("lineitem", "orders", "customer", "nation", "region")
+)
+result = returned_revenue(dies_at_first(lineitem), dies_at_first(orders), *rest)
+print(json.dumps([list(row) for row in result.collect()]))
+spark.stop()
