@@ -22,19 +22,29 @@ LOW_BITS = 20
 # of cents (1.1400000000000001), far too narrow for another amount.
 TOLERANCE = 1e-3
 
+# The double and its product with the parts are each off by up to one in 2**53. Below
+# this many parts that is less than half a part together, so the count is the right one.
+MOST_PARTS = float(2**51)
+
 
 def whole_parts(column: Column, per_unit: int) -> Column:
     """``column`` (double) as a ``bigint`` count of parts, ``per_unit`` to the unit.
 
-    Null stays null. A value that is no whole number of parts, or NaN, fails the
-    query: rounding it away would give a wrong total without a word.
+    Null stays null. A value that is no whole number of parts, or has too many to be
+    exact, or is NaN, fails the query: rounding it away would give a wrong total
+    without a word.
     """
-    scaled = column * F.lit(float(per_unit))
-    whole = F.rint(scaled)
-    message = F.concat(F.lit(f"not a whole number of 1/{per_unit} parts: "), column.cast("string"))
+    unit = F.lit(float(per_unit))
+    whole = F.rint(column * unit)
+    # Compared in units, where a double that stands for whole parts differs by nothing.
+    rest = F.abs(whole / unit - column) * unit
+    message = F.concat(
+        F.lit(f"not a whole number of 1/{per_unit} parts, as an exact sum needs: "),
+        column.cast("string"),
+    )
     return (
         F.when(column.isNull(), F.lit(None).cast("bigint"))
-        .when(F.abs(scaled - whole) <= TOLERANCE, whole.cast("bigint"))
+        .when((rest <= TOLERANCE) & (F.abs(whole) < MOST_PARTS), whole.cast("bigint"))
         .otherwise(F.raise_error(message))
     )
 

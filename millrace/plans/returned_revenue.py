@@ -15,8 +15,7 @@ START = datetime(1996, 1, 1)
 END = datetime(1998, 1, 1)
 RETURNED = "R"
 
-# Prices are whole cents and discounts whole percent, so a line's revenue is a
-# whole number of ten-thousandths.
+# In the given tables prices are whole cents and discounts whole percent.
 CENTS = 100
 PERCENT = 100
 
@@ -30,12 +29,18 @@ def returned_revenue(
     start: datetime = START,
     end: datetime = END,
     flag: str = RETURNED,
+    price_parts: int = CENTS,
+    discount_parts: int = PERCENT,
 ) -> DataFrame:
     """Count and revenue of the lines with ``flag`` ordered in ``[start, end)``.
 
     ``r_name string, o_year bigint, n_lines bigint, revenue double``, a row for each
     region and year that has lines, sorted on both. Inner joins throughout.
 
+    A price has to be a whole number of ``1 / price_parts``, a discount one of
+    ``1 / discount_parts``; the query fails on a line that is not. Pass finer parts
+    for finer amounts.
+
     Each step totals on the key it joins on next: order, customer, nation, region.
     No hint is given; Spark broadcasts a side whose size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges otherwise.
@@ -46,8 +51,8 @@ def returned_revenue(
     measures = ["n_lines", *high_low_names("revenue")]
     by_year = spread_names(measures, years)
 
-    price = whole_parts(F.col("l_extendedprice"), CENTS)
-    paid = F.lit(PERCENT) - whole_parts(F.col("l_discount"), PERCENT)
+    price = whole_parts(F.col("l_extendedprice"), price_parts)
+    paid = F.lit(discount_parts) - whole_parts(F.col("l_discount"), discount_parts)
     lines = lineitem.where(F.col("l_returnflag") == flag).select(
         "l_orderkey",
         F.lit(1).cast("bigint").alias("n_lines"),
@@ -84,7 +89,7 @@ def returned_revenue(
             "r_name",
             "o_year",
             "n_lines",
-            high_low_total("revenue", CENTS * PERCENT, 2).alias("revenue"),
+            high_low_total("revenue", price_parts * discount_parts, 2).alias("revenue"),
         )
         .orderBy(F.asc_nulls_last("r_name"), "o_year")
     )

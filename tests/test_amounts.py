@@ -16,6 +16,15 @@ def test_every_number_of_cents_is_read_exactly(spark):
     assert wrong.count() == 0
 
 
+def test_large_amounts_are_read_exactly_up_to_the_limit(spark):
+    stride = (2**51 - 17) // 1_000_000
+    parts = spark.range(1_000_000).select((F.col("id") * stride + 17).alias("n"))
+    for sign in (1, -1):
+        n = F.col("n") * sign
+        wrong = parts.where(whole_parts((n / 100).cast("double"), 100) != n)
+        assert wrong.count() == 0
+
+
 def test_signs_nulls_and_large_amounts(spark):
     rows = doubles(spark, -0.07, None, 0.0, 123456789012.34).select(
         whole_parts(F.col("x"), 100).alias("p")
@@ -23,7 +32,7 @@ def test_signs_nulls_and_large_amounts(spark):
     assert [r.p for r in rows.collect()] == [-7, None, 0, 12345678901234]
 
 
-@pytest.mark.parametrize("value", [0.001, 1.005, float("nan"), float("inf")])
+@pytest.mark.parametrize("value", [0.001, 1.005, -88e9 - 0.005, 2**51 / 100, 1e17, float("nan"), float("inf")])
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_anything_else_fails(spark, conf, value, ansi):
     conf("spark.sql.ansi.enabled", ansi)

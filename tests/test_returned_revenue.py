@@ -210,6 +210,13 @@ def test_an_amount_that_is_not_whole_parts_fails_the_query(spark, line):
         run(spark, changed(lineitem=[line]))
 
 
+def test_finer_amounts_need_finer_parts(spark):
+    lines = [(1, 10.00525, 0.0, "R"), (1, 20.0, 0.0555, "R"), (2, 0.33333, 0.0001, "R")]
+    tables = changed(lineitem=lines)
+    rows = run(spark, tables, price_parts=100_000, discount_parts=10_000)
+    assert rows == brute_force(tables) == [("ASIA", 1996, 2, 28.9), ("EUROPE", 1997, 1, 0.33)]
+
+
 key = st.one_of(st.none(), st.integers(0, 3))
 date = st.one_of(
     st.none(),
