@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import bpe_digests
+from millrace.llm.minhash import near_duplicates
+from millrace.llm.quality import quality_rules
 from millrace.sources import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,8 +22,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, BYTE_BPE).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("set_key")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ``base_failed`` and ``kept`` of every document."""
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_minhash": op3_minhash,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
