@@ -176,32 +176,6 @@ class BytePairs:
             ids = np.fromiter((t for r in rows for t in r), np.int64, int(counts.sum()))
         return ids.astype(np.int32), counts
 
-    def encode(self, cache: PieceCache, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``texts``, flat, and the number of each; specials stand for themselves."""
-        if not any(s in t for t in texts for s in self.special):
-            return cache.texts(texts)
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            for part in self._split(text):
-                parts.append(part)
-                owner.append(k)
-        plain = [p if isinstance(p, str) else "" for p in parts]
-        ids, counts = cache.texts(plain)
-        special = np.array([p if isinstance(p, int) else -1 for p in parts])
-        at = (np.cumsum(counts))[special >= 0]
-        ids = np.insert(ids, at, special[special >= 0])
-        counts = counts + (special >= 0)
-        return ids, np.bincount(owner, counts, len(texts)).astype(np.int64)
-
-    def _split(self, text: str) -> list[str | int]:
-        """``text`` cut at its special tokens, leftmost first; these are given as ids."""
-        out: list[str | int] = []
-        while found := [(text.find(s), -len(s), s) for s in self.special if s in text]:
-            at, _, s = min(found)
-            out += [text[:at], self.special[s]]
-            text = text[at + len(s) :]
-        return [*out, text]
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ``ids`` stand for, specials included."""
         return self._bytes[ranges(self._starts[ids], self._lengths[ids])].tobytes()
@@ -211,15 +185,15 @@ class BytePairs:
 def byte_pairs(path: str) -> tuple[BytePairs, PieceCache]:
     """The vocabulary at ``path`` and the cache of this Python worker."""
     pairs = BytePairs(path)
-    return pairs, PieceCache(pairs.pieces)
+    return pairs, PieceCache(pairs.pieces, pairs.special)
 
 
 def _encoded(batches, path: str, id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
-    pairs, cache = byte_pairs(path)
+    _, cache = byte_pairs(path)
     for batch in batches:
         for part in slices(batch, text_col):
             texts = part[text_col].fill_null("").to_pylist()
-            ids, counts = pairs.encode(cache, texts)
+            ids, counts = cache.texts(texts)
             offsets = np.concatenate(([0], np.cumsum(counts)))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part[id_col], lists], ["doc_id", "ids"])
@@ -282,7 +256,7 @@ def bpe_digests(
         number = [str(k) for k in range(len(pairs.text))]
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, counts = pairs.encode(cache, part["text"].fill_null("").to_pylist())
+                ids, counts = cache.texts(part["text"].fill_null("").to_pylist())
                 ends = np.cumsum(counts)
                 decoded = pairs.decode(ids)
                 size = np.concatenate(([0], np.cumsum(pairs._lengths[ids])))

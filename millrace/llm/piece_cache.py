@@ -19,10 +19,17 @@ MOST_PIECES = 1 << 20
 
 
 class PieceCache:
-    """``encode(pieces)`` gives the ids of each piece of a list: flat ids, and counts."""
+    """``encode(pieces)`` gives the ids of each piece of a list: flat ids, and counts.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    ``special``: tokens that stand for themselves wherever they are in a text.
+    """
+
+    def __init__(
+        self,
+        encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+        special: dict[str, int],
+    ):
+        self.encode, self.special = encode, special
         self._forget()
 
     def _forget(self):
@@ -53,6 +60,30 @@ class PieceCache:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts``, one after the other, and the number of each text's."""
+        if not any(s in t for t in texts for s in self.special):
+            return self._plain(texts)
+        parts, owner = [], []
+        for k, text in enumerate(texts):
+            for part in self._split(text):
+                parts.append(part)
+                owner.append(k)
+        ids, counts = self._plain([p if isinstance(p, str) else "" for p in parts])
+        special = np.array([p if isinstance(p, int) else -1 for p in parts])
+        ids = np.insert(ids, np.cumsum(counts)[special >= 0], special[special >= 0])
+        counts = counts + (special >= 0)
+        return ids, np.bincount(owner, counts, len(texts)).astype(np.int64)
+
+    def _split(self, text: str) -> list[str | int]:
+        """``text`` cut at its special tokens, leftmost first; these are given as ids."""
+        out: list[str | int] = []
+        at = 0
+        while found := [(k, -len(s), s) for s in self.special if (k := text.find(s, at)) >= 0]:
+            k, _, s = min(found)
+            out += [text[at:k], self.special[s]]
+            at = k + len(s)
+        return [*out, text[at:]]
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces = Pretokens(texts)
         code, keys = pd.factorize(pieces.hashes())
         example = np.zeros(len(keys), np.int64)

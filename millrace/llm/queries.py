@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import bpe_digests
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.quality import quality_rules
+from millrace.llm.token_counts import document_token_counts
+from millrace.llm.token_records import read_records, write_records
 from millrace.sources import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +29,21 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("set_key")
 
 
+END_OF_TEXT = 50256  # the special token of the vocabulary
+RECORD_END = 2
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, ordinal, start, n_tokens`` of every document, from flat token files."""
+    return document_token_counts(read_table(spark, sf_dir, "documents"), BYTE_BPE, END_OF_TEXT)
+
+
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from record files."""
+    manifest = write_records(read_table(spark, sf_dir, "documents"), BYTE_BPE, RECORD_END)
+    return read_records(manifest, digest=True)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every document."""
     return quality_rules(read_table(spark, sf_dir, "documents"))
@@ -35,6 +52,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_minhash": op3_minhash,
+    "op6_token_counts": op6_token_counts,
+    "op8_token_records": op8_token_records,
     "op9_quality": op9_quality,
 }
 
