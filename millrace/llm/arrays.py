@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
@@ -26,7 +27,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with at most ``most`` bytes in ``column``, or one row each."""
-    lengths = pa.compute.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(lengths, dtype=np.int64), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import bpe_digests
+from millrace.llm.decontaminate import leaks
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.quality import quality_rules
 from millrace.llm.token_counts import document_token_counts
 from millrace.llm.token_records import read_records, write_records
+from millrace.llm.warc import derive, write_responses
 from millrace.sources import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +26,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, BYTE_BPE).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, item_id, n_words, edits, start_word, end_word``: passages of the benchmark."""
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("set_key")
@@ -38,6 +45,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(read_table(spark, sf_dir, "documents"), BYTE_BPE, END_OF_TEXT)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, digests and counts of the records derived from every page."""
+    derived = derive(write_responses(read_table(spark, sf_dir, "pages")))
+    return derived.drop("metadata_path", "metadata_offset", "conversion_path", "conversion_offset")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from record files."""
     manifest = write_records(read_table(spark, sf_dir, "documents"), BYTE_BPE, RECORD_END)
@@ -51,8 +64,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_token_records": op8_token_records,
     "op9_quality": op9_quality,
 }

@@ -59,7 +59,7 @@ def write_flat(
                 if len(ids) and (int(ids.max()) >= 1 << 16 or (ids == end).any()):
                     raise ValueError("an id of a text is the end id or does not fit in 16 bits")
                 if out is None:
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(np.insert(ids.astype("<u2"), np.cumsum(counts), end).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [

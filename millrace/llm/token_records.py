@@ -93,11 +93,11 @@ def _written(batches, folder: str, path: str, end: int, width: int) -> Iterator[
                 offset += len(frames[-1])
                 n_ids += n + 1
             if records is None:
-                records = fs.open_output_stream(f"{root}/{name}.records")
+                records = fs.open_output_stream(f"{root}/{name}.records", compression=None)
             records.write(b"".join(frames))
     if records is not None:
         records.close()
-        with fs.open_output_stream(f"{root}/{name}.index") as out:
+        with fs.open_output_stream(f"{root}/{name}.index", compression=None) as out:
             out.write(np.array(index, INDEX).tobytes())
         row = (part, f"{folder}/{name}.records", f"{folder}/{name}.index", len(index), n_ids)
         yield pa.RecordBatch.from_arrays(
