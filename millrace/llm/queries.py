@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import bpe_digests
+from millrace.llm.chat import PERSPECTIVES_SQL, perspectives
 from millrace.llm.decontaminate import leaks
 from millrace.llm.minhash import near_duplicates
+from millrace.llm.pii import find_personal_data
 from millrace.llm.quality import quality_rules
 from millrace.llm.token_counts import document_token_counts
 from millrace.llm.token_records import read_records, write_records
@@ -36,6 +38,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("set_key")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue, rendered for each of its participants, a row for each message."""
+    return perspectives(read_table(spark, sf_dir, "conversations"))
+
+
 END_OF_TEXT = 50256  # the special token of the vocabulary
 RECORD_END = 2
 
@@ -62,14 +69,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, places and digest of the personal data of every document."""
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op5_chat": op5_chat,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_token_records": op8_token_records,
     "op9_quality": op9_quality,
+    "op10_personal_data": op10_personal_data,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": PERSPECTIVES_SQL}
