@@ -48,24 +48,22 @@ def perspectives(
     empty, null conversation ids are one dialogue. A dialogue without participants, and an
     empty table, give no rows. Turns are whole numbers.
     """
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / block_turns).cast("bigint")
+    block = F.floor(F.col("turn") / block_turns).cast("bigint")
+    # As a struct an id is never null, so null ones meet in joins as in groups.
     messages = conversations.select(
-        F.col(conv_col).alias("conv_id"),
+        F.struct(F.col(conv_col).alias("conv_id")).alias("conv"),
         F.col(turn_col).cast("bigint").alias("turn"),
         F.col(speaker_col).alias("speaker"),
         F.col(text_col).alias("raw"),
-    ).select("*", F.when(F.col("turn").isNull(), F.lit(None)).otherwise(block).alias("block"))
+    ).withColumn("block", F.coalesce(block, F.lit(-(2**62))))
     speakers = (
         messages.where(F.col("speaker").isNotNull() & (F.col("speaker") != system))
-        .select("conv_id", "speaker")
+        .select("conv", "speaker")
         .distinct()
-        .groupBy("conv_id")
+        .groupBy("conv")
         .agg(F.collect_list("speaker").alias("participants"))
     )
-    blocks = messages.select("conv_id", "block").distinct().alias("b")
-    per_block = blocks.join(
-        speakers.alias("s"), F.col("b.conv_id").eqNullSafe(F.col("s.conv_id"))
-    ).select(F.col("b.conv_id").alias("conv"), F.col("b.block").alias("part"), "participants")
+    per_block = messages.select("conv", "block").distinct().join(speakers, "conv")
 
     text = _safe(F.coalesce("raw", F.lit("")))
     head = (
@@ -75,47 +73,39 @@ def perspectives(
         .otherwise(F.concat(F.lit("<|user name="), _safe(F.col("speaker")), F.lit("|>\n")))
     )
     rows = (
-        messages.join(
-            per_block,
-            F.col("conv_id").eqNullSafe(F.col("conv")) & F.col("block").eqNullSafe(F.col("part")),
-        )
-        .select("conv_id", "block", "turn", "speaker", "raw", F.explode("participants").alias("perspective"))
+        messages.join(per_block, ["conv", "block"])
+        .select("conv", "block", "turn", "speaker", "raw", F.explode("participants").alias("perspective"))
         .withColumn("head", head)
         .withColumn("segment", F.concat("head", text, F.lit(_END + "\n")))
         .withColumn("size", F.length("segment").cast("bigint"))
     )
     order = [F.col(c).asc_nulls_first() for c in ("turn", "speaker", "raw")]
-    inside = Window.partitionBy("conv_id", "block", "perspective").orderBy(*order)
+    inside = Window.partitionBy("conv", "block", "perspective").orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select(
         "*",
         (F.row_number().over(inside) - 1).cast("bigint").alias("seq_in"),
         F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start_in"),
     )
-    totals = rows.groupBy("conv_id", "block", "perspective").agg(
+    totals = rows.groupBy("conv", "block", "perspective").agg(
         F.count("*").alias("n"), F.sum("size").alias("chars")
     )
     earlier = (
-        Window.partitionBy("conv_id", "perspective")
-        .orderBy(F.col("block").asc_nulls_first())
+        Window.partitionBy("conv", "perspective")
+        .orderBy("block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     base = totals.select(
-        F.col("conv_id").alias("conv"),
-        F.col("block").alias("part"),
-        F.col("perspective").alias("whose"),
+        "conv",
+        "block",
+        "perspective",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("seq_0"),
         F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("start_0"),
     )
     own = F.col("speaker") == F.col("perspective")
     start = F.col("start_0") + F.col("start_in")
-    return rows.join(
-        base,
-        F.col("conv_id").eqNullSafe(F.col("conv"))
-        & F.col("block").eqNullSafe(F.col("part"))
-        & (F.col("perspective") == F.col("whose")),
-    ).select(
-        "conv_id",
+    return rows.join(base, ["conv", "block", "perspective"]).select(
+        "conv.conv_id",
         "perspective",
         (F.col("seq_0") + F.col("seq_in")).alias("seq"),
         "turn",
