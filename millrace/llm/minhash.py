@@ -120,12 +120,13 @@ def _described(batches, size: int, rows: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"],
+                    part["text_hash"],
                     pa.array(counts.astype(np.int64)),
                     pa.array(keys, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "bands", "sketch"],
             )
 
 
@@ -249,13 +250,13 @@ def near_duplicates(
     block_classes: int = BLOCK_CLASSES,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, set_key`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for each row of ``docs``.
 
     A row's set holds the distinct shingles of ``size`` words of its whole text, A-Z lowered,
     words being ``[^\\x20\\x09-\\x0D]+``; with fewer words the whole sequence; without words
     it is empty and linked with nothing. Rows are linked where
     ``100 * intersection >= percent * union``. ``component_id`` is the smallest id reachable,
-    ``kept`` says whether it is the row's own; ``set_key`` is the class of equal sets.
+    ``kept`` says whether it is the row's own; ``text_hash`` is ``xxhash64`` of the text.
 
     Repeated rows share a class, and those with the smallest id are all kept. Rows of one id
     with different texts are compared as different rows. A row with a null id is linked
@@ -267,9 +268,9 @@ def near_duplicates(
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     told = written(
-        narrow.mapInArrow(
+        narrow.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
             lambda batches: _described(batches, size, rows),
-            f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary",
+            f"doc_id {kind}, text_hash bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary",
         ),
         "described",
     )
@@ -298,13 +299,13 @@ def near_duplicates(
     )
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
     return (
-        told.select("doc_id", "n_shingles", "set_key")
+        told.select("doc_id", "text_hash", "n_shingles", "set_key")
         .join(of_class, "set_key", "left")
         .select(
             "doc_id",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-            "set_key",
+            "text_hash",
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
@@ -379,3 +380,19 @@ def _linked(docs, classes, groups, size, percent, block_classes, block_shingles)
         F.explode(F.array_distinct(F.when(F.col("minor"), F.concat(of_all, of_minor)).otherwise(of_all))),
     )
     return found.unionByName(written(compared(pairs), "links"))
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are.
+
+    Rows are told apart by id and text; those with a null id are all kept.
+    """
+    told = near_duplicates(docs, id_col, text_col, **options)
+    gone = told.where("not kept").select("doc_id", "text_hash").distinct()
+    return docs.join(
+        gone,
+        (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]),
+        "left_anti",
+    )

@@ -126,8 +126,13 @@ def _repeat_words(words: Words, h: np.ndarray) -> np.ndarray:
     return sums(inside, words.first)
 
 
-def measures(column: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """Counts of each text of ``column``; see ``quality_rules``."""
+def measures(
+    column: pa.Array,
+    min_words: int = MIN_WORDS,
+    most_covered: float = MOST_COVERED,
+    longest: int = LONGEST,
+) -> dict[str, np.ndarray]:
+    """Counts and verdicts of each text of ``column``; see ``quality_rules``."""
     words = Words(column)
     out = {"n_words": words.counts}
     lead = IS_WORD[words.data] & ((words.data & 0xC0) != 0x80)
@@ -139,24 +144,32 @@ def measures(column: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarr
     length = repeats(pd.factorize(h)[0], words.text)
     long = np.flatnonzero(length >= min_words)
     out["covered_words"] = sums(_covered(long, length[long], len(h)), words.first)
-    longest = np.zeros(len(words.counts), np.int64)
-    np.maximum.at(longest, words.text, length)
-    out["longest_repeat"] = longest
-    return {k: v.astype(np.int64) for k, v in out.items()}
+    most = np.zeros(len(words.counts), np.int64)
+    np.maximum.at(most, words.text, length)
+    out["longest_repeat"] = most
+    out = {k: v.astype(np.int64) for k, v in out.items()}
+    n = out["n_words"]
+    out["base_failed"] = (n < 50) | (100 * out["n_repeat_words"] > 50 * n)
+    fine = (out["covered_words"] <= most_covered * n) & (most <= longest)
+    out["kept"] = ~out["base_failed"] & fine
+    return out
 
 
 COUNTS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words covered_words longest_repeat".split()
 )
+VERDICTS = ["base_failed", "kept"]
 
 
-def quality_counts(
+def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     min_words: int = MIN_WORDS,
+    most_covered: float = MOST_COVERED,
+    longest: int = LONGEST,
 ) -> DataFrame:
-    """``doc_id`` and the counts of each row's whole text, all ``bigint``.
+    """``doc_id``, counts (``bigint``) and verdicts (``boolean``) of each row's whole text.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; ``word_chars`` are code points in them, ``n_symbols``
     the characters ``#*$%&|<>``, ``n_dup_lines`` the lines that have a word and equal an
@@ -165,39 +178,42 @@ def quality_counts(
     ``min_words`` words, ``longest_repeat`` the words of the longest one of any length
     (the occurrences may overlap).
 
-    A null, empty or blank text has zeros. Repeated rows give repeated rows, no rows none.
+    ``base_failed``: fewer than 50 words, or more than half of them in repeated three-word
+    windows. ``kept``: not ``base_failed``, at most ``most_covered`` of the words in
+    repeated substrings of ``min_words`` or more, and none of over ``longest`` words.
+
+    A null, empty or blank text has zeros and fails. Repeated rows give repeated rows, no
+    rows none. Other columns are not read, nothing is shuffled.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
+    names = [*COUNTS, *VERDICTS]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                got = measures(part["text"], min_words)
+                got = measures(part["text"], min_words, most_covered, longest)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], *(pa.array(got[c]) for c in COUNTS)], ["doc_id", *COUNTS]
+                    [part["doc_id"], *(pa.array(got[c]) for c in names)], ["doc_id", *names]
                 )
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    kinds = [f"{c} bigint" for c in COUNTS] + [f"{c} boolean" for c in VERDICTS]
+    return narrow.mapInArrow(run, f"doc_id {kind}, " + ", ".join(kinds))
 
 
-def quality_rules(
+def passing(
     docs: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     min_words: int = MIN_WORDS,
     most_covered: float = MOST_COVERED,
     longest: int = LONGEST,
 ) -> DataFrame:
-    """``quality_counts`` with ``base_failed`` and ``kept``.
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they are."""
 
-    ``base_failed``: fewer than 50 words, or more than half of them in repeated three-word
-    windows. ``kept``: not ``base_failed``, at most ``most_covered`` of the words in
-    repeated substrings of ``min_words`` or more, and none of over ``longest`` words.
-    """
-    counts = quality_counts(docs, id_col, text_col, min_words)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fine = (F.col("covered_words") <= most_covered * F.col("n_words")) & (
-        F.col("longest_repeat") <= longest
-    )
-    return counts.withColumns({"base_failed": failed, "kept": ~failed & fine})
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                got = measures(part[text_col], min_words, most_covered, longest)
+                yield part.filter(pa.array(got["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import bpe_digests
 from millrace.llm.chat import PERSPECTIVES_SQL, perspectives
 from millrace.llm.decontaminate import leaks
+from millrace.llm.language import held_out, identify, train
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.pii import find_personal_data
 from millrace.llm.quality import quality_rules
@@ -35,7 +36,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
-    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("set_key")
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    told = identify(docs, train(docs))
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op4_language": op4_language,
     "op5_chat": op5_chat,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
