@@ -13,6 +13,8 @@ together as a decimal once the groups are few.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,27 +28,27 @@ TOLERANCE = 1e-3
 # this many parts that is less than half a part together, so the count is the right one.
 MOST_PARTS = float(2**51)
 
+# A total in parts has up to 26 digits, and two more when it is rounded to cents.
+MOST_PER_UNIT = 10**18
+
 
 def whole_parts(column: Column, per_unit: int) -> Column:
     """``column`` (double) as a ``bigint`` count of parts, ``per_unit`` to the unit.
 
-    Null stays null. A value that is no whole number of parts, or has too many to be
-    exact, or is NaN, fails the query: rounding it away would give a wrong total
-    without a word.
+    Null where it is null, and where it is refused: no whole number of parts, too many to be
+    exact, or NaN. What is refused has to be counted, or a total would lack it without a
+    word; see ``refused``.
     """
     unit = F.lit(float(per_unit))
     whole = F.rint(column * unit)
     # Compared in units, where a double that stands for whole parts differs by nothing.
     rest = F.abs(whole / unit - column) * unit
-    message = F.concat(
-        F.lit(f"not a whole number of 1/{per_unit} parts, as an exact sum needs: "),
-        column.cast("string"),
-    )
-    return (
-        F.when(column.isNull(), F.lit(None).cast("bigint"))
-        .when((rest <= TOLERANCE) & (F.abs(whole) < MOST_PARTS), whole.cast("bigint"))
-        .otherwise(F.raise_error(message))
-    )
+    return F.when((rest <= TOLERANCE) & (F.abs(whole) < MOST_PARTS), whole.cast("bigint"))
+
+
+def refused(value: Column, parts: Column) -> Column:
+    """Whether ``value`` is not null and its ``parts`` are."""
+    return value.isNotNull() & parts.isNull()
 
 
 def high_low_names(name: str) -> list[str]:
@@ -66,7 +68,20 @@ def high_low(parts: Column, name: str) -> list[Column]:
 
 
 def high_low_total(name: str, per_unit: int, digits: int) -> Column:
-    """The sum held by the two columns of ``name``, in units, rounded, as double."""
+    """The sum held by the two columns of ``name``, in units, as double.
+
+    Rounded once, halves away from zero, to ``digits``, then the nearest double. All is done
+    on whole numbers of parts: the quotient of two decimals would be cut to the digits that
+    fit, and rounding that could round twice.
+    """
+    if not 1 <= per_unit <= MOST_PER_UNIT:
+        raise ValueError(f"parts of 1/{per_unit} are not supported, only to 1/{MOST_PER_UNIT}")
     high, low = (F.col(c).cast("decimal(19,0)") for c in high_low_names(name))
     parts = high * F.lit(2**LOW_BITS) + low
-    return F.round(parts / F.lit(per_unit), digits).cast("double")
+    size = (F.abs(parts) * F.lit(10**digits)).cast("decimal(38,0)")
+    unit = F.lit(per_unit).cast("decimal(19,0)")
+    over = (size % unit).cast("decimal(19,0)")
+    # The division leaves nothing over.
+    steps = ((size - over) / unit).cast("decimal(35,0)") + F.when(over * 2 >= unit, 1).otherwise(0)
+    rounded = (steps * F.lit(Decimal(10) ** -digits)).cast("double")
+    return F.when(parts < 0, -rounded).otherwise(rounded)

@@ -1,3 +1,3 @@
-from millrace.operators.totals import gather, spread, spread_names, total_by
+from millrace.operators.totals import N_REFUSED, REFUSED, total_by
 
-__all__ = ["gather", "spread", "spread_names", "total_by"]
+__all__ = ["N_REFUSED", "REFUSED", "total_by"]

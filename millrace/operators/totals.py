@@ -10,50 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns that go with the measures: how many amounts were refused, and one of them.
+N_REFUSED, REFUSED = "n_refused", "refused"
 
-def total_by(frame: DataFrame, key: str, measures: Iterable[str]) -> DataFrame:
-    """Sum each measure per value of ``key``; only these columns are kept."""
-    return frame.groupBy(key).agg(*[F.sum(m).alias(m) for m in measures])
 
+def total_by(frame: DataFrame, keys: str | list[str], measures: Iterable[str]) -> DataFrame:
+    """Sum each measure (``bigint``) per value of ``keys``, and what was refused of them.
 
-def spread_names(measures: Iterable[str], values: Iterable[int]) -> list[str]:
-    """Names of the columns made by ``spread``, in its order."""
-    measures = list(measures)
-    return [_spread_name(m, v) for v in values for m in measures]
-
-
-def spread(measures: Iterable[str], by: str, values: Iterable[int]) -> list[Column]:
-    """One column per measure and value of ``by``, null where the row has another value.
-
-    Used to total by a join key alone where the result also needs ``by``. Grouping
-    on both would leave the sums partitioned on the pair, and the join would
-    shuffle them a second time. ``values`` has to list all that occur.
+    Only these columns are kept. A sum that does not fit is null and counts as refused, with
+    ANSI arithmetic on or off: whoever shows a group has to look at ``n_refused`` first.
     """
-    measures = list(measures)
-    return [
-        F.when(F.col(by) == v, F.col(m)).alias(_spread_name(m, v))
-        for v in values
-        for m in measures
-    ]
-
-
-def gather(
-    frame: DataFrame, keep: str, measures: Iterable[str], by: str, values: Iterable[int]
-) -> DataFrame:
-    """Undo ``spread``: a row per ``keep`` and value of ``by``, with the measures."""
-    measures = list(measures)
-    rows = [
-        F.struct(
-            F.lit(v).cast("bigint").alias(by),
-            *[F.col(_spread_name(m, v)).alias(m) for m in measures],
-        )
-        for v in values
-    ]
-    return frame.select(keep, F.inline(F.array(*rows)))
-
-
-def _spread_name(measure: str, value: int) -> str:
-    return f"{measure}_{value}"
+    sums, lost = [], F.lit(0).cast("bigint")
+    for m in measures:
+        total = F.try_sum(m)
+        sums.append(total.alias(m))
+        lost = lost + F.when(total.isNull() & (F.count(m) > 0), 1).otherwise(0)
+    keys = [keys] if isinstance(keys, str) else keys
+    return frame.groupBy(*keys).agg(
+        *sums, (F.sum(N_REFUSED) + lost).alias(N_REFUSED), F.max(REFUSED).alias(REFUSED)
+    )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import high_low, high_low_names, high_low_total, whole_parts
-from millrace.operators import gather, spread, spread_names, total_by
+from millrace.functions import high_low, high_low_names, high_low_total, refused, whole_parts
+from millrace.operators import N_REFUSED, REFUSED, total_by
 from millrace.sources import read_table
 
 START = datetime(1996, 1, 1)
@@ -38,61 +38,79 @@ def returned_revenue(
     region and year that has lines, sorted on both. Inner joins throughout.
 
     A price has to be a whole number of ``1 / price_parts``, a discount one of
-    ``1 / discount_parts``; the query fails on a line that is not. Pass finer parts
-    for finer amounts.
+    ``1 / discount_parts``; pass finer parts for finer amounts. Other amounts, and those
+    too large to be exact, are counted on the way, and the query fails if a group that it
+    returns has one. Lines outside the result fail nothing. None of this depends on ANSI.
 
-    Each step totals on the key it joins on next: order, customer, nation, region.
-    No hint is given; Spark broadcasts a side whose size is below
+    ``start`` and ``end`` are wall times, as the order dates are; zoned ones are an error.
+
+    Each step totals on the key it joins on next, with the year once it is known. No hint is
+    given; Spark broadcasts a side whose size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges otherwise.
     """
+    if start.tzinfo is not None or end.tzinfo is not None:
+        raise ValueError(f"start {start} and end {end} have to be wall times, without a zone")
     if start >= end:
         raise ValueError(f"start {start} is not before end {end}")
-    years = range(start.year, (end - timedelta(microseconds=1)).year + 1)
     measures = ["n_lines", *high_low_names("revenue")]
-    by_year = spread_names(measures, years)
 
-    price = whole_parts(F.col("l_extendedprice"), price_parts)
-    paid = F.lit(discount_parts) - whole_parts(F.col("l_discount"), discount_parts)
-    lines = lineitem.where(F.col("l_returnflag") == flag).select(
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    lines = (
+        lineitem.where(F.col("l_returnflag") == flag)
+        .withColumns(
+            {
+                "price": whole_parts(price, price_parts),
+                "paid": F.lit(discount_parts) - whole_parts(discount, discount_parts),
+            }
+        )
+        .withColumn("amount", F.try_multiply("price", "paid"))
+    )
+    bad = (
+        F.when(refused(price, F.col("price")), price)
+        .when(refused(discount, F.col("paid")), discount)
+        .when(F.col("price").isNotNull() & refused(F.col("paid"), F.col("amount")), price)
+    )
+    lines = lines.select(
         "l_orderkey",
         F.lit(1).cast("bigint").alias("n_lines"),
-        *high_low(price * paid, "revenue"),
+        *high_low(F.col("amount"), "revenue"),
+        bad.isNotNull().cast("bigint").alias(N_REFUSED),
+        bad.alias(REFUSED),
     )
     placed = orders.where(
         (F.col("o_orderdate") >= _ntz(start)) & (F.col("o_orderdate") < _ntz(end))
-    ).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
+    ).select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("bigint").alias("o_year"))
 
     per_order = total_by(lines, "l_orderkey", measures)
     per_customer = total_by(
-        per_order.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            "o_custkey", *spread(measures, "o_year", years)
-        ),
-        "o_custkey",
-        by_year,
+        per_order.join(placed, F.col("l_orderkey") == F.col("o_orderkey")),
+        ["o_custkey", "o_year"],
+        measures,
     )
     per_nation = total_by(
         per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")),
-        "c_nationkey",
-        by_year,
+        ["c_nationkey", "o_year"],
+        measures,
     )
     per_region = total_by(
         per_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
             region, F.col("n_regionkey") == F.col("r_regionkey")
         ),
-        "r_name",
-        by_year,
+        ["r_name", "o_year"],
+        measures,
     )
-    return (
-        gather(per_region, "r_name", measures, "o_year", years)
-        .where(F.col("n_lines").isNotNull())
-        .select(
-            "r_name",
-            "o_year",
-            "n_lines",
-            high_low_total("revenue", price_parts * discount_parts, 2).alias("revenue"),
-        )
-        .orderBy(F.asc_nulls_last("r_name"), "o_year")
+    message = F.concat(
+        F.lit(f"an amount is not a whole number of 1/{price_parts} parts (a discount: "),
+        F.lit(f"1/{discount_parts}) or too large for an exact sum: "),
+        F.coalesce(F.col(REFUSED).cast("string"), F.lit("a total")),
     )
+    revenue = high_low_total("revenue", price_parts * discount_parts, 2)
+    return per_region.select(
+        "r_name",
+        "o_year",
+        "n_lines",
+        F.when(F.col(N_REFUSED) > 0, F.raise_error(message)).otherwise(revenue).alias("revenue"),
+    ).orderBy(F.asc_nulls_last("r_name"), "o_year")
 
 
 def returned_revenue_from(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import re
 from contextlib import redirect_stdout
+from datetime import datetime
 from io import StringIO
 
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.plans import returned_revenue_from
+from millrace.plans import returned_revenue, returned_revenue_from
+from millrace.sources import read_table
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -68,14 +71,15 @@ def test_each_table_is_shuffled_once_per_join(shuffled):
     keys = exchanges(shuffled)
     assert keys.count("l_orderkey") == 1
     assert keys.count("o_orderkey") == 1
-    assert keys.count("o_custkey") == 1
+    # By customer and year for the sums, one row each, then by customer for the join.
+    assert keys.count("o_custkey") == 2
     assert keys.count("c_custkey") == 1
-    assert keys.count("c_nationkey") == 1
+    assert keys.count("c_nationkey") == 2
 
 
 def test_totals_are_taken_on_both_sides_of_the_shuffle(shuffled):
-    for key in ("l_orderkey", "o_custkey", "c_nationkey", "r_name"):
-        assert len(re.findall(rf"HashAggregate.*\n(?:Input.*\n)Keys \[1\]: \[{key}#", shuffled)) == 2
+    for key, n in (("l_orderkey", 1), ("o_custkey", 2), ("c_nationkey", 2), ("r_name", 2)):
+        assert len(re.findall(rf"HashAggregate.*\n(?:Input.*\n)Keys \[{n}\]: \[{key}#", shuffled)) == 2
 
 
 def test_large_sides_are_sort_merged(shuffled):
@@ -93,3 +97,41 @@ def test_nothing_runs_in_python_or_on_one_task(shuffled):
     assert "Python" not in shuffled and "Arrow" not in shuffled
     assert "SinglePartition" not in shuffled
     assert "ObjectHashAggregate" not in shuffled and "SortAggregate" not in shuffled
+
+
+def test_the_plan_does_not_widen_with_the_range(spark):
+    def nodes(end):
+        frame = returned_revenue(
+            *(read_table(spark, SF_DIR, t) for t in ("lineitem", "orders", "customer", "nation", "region")),
+            end=datetime(end, 1, 1),
+        )
+        return len(plan(frame))
+
+    assert nodes(2190) - nodes(1998) < 100
+
+
+def test_a_hot_order_crosses_the_shuffle_as_one_row_a_task(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    lines = spark.range(40_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("l_orderkey"),
+        F.lit(1.0).alias("l_extendedprice"),
+        F.lit(0.0).alias("l_discount"),
+        F.lit("R").alias("l_returnflag"),
+    )
+    rest = [read_table(spark, SF_DIR, t) for t in ("orders", "customer", "nation", "region")]
+    frame = returned_revenue(lines, *rest, end=datetime(2010, 1, 1))
+    frame.collect()
+    executed = frame._jdf.queryExecution().executedPlan()
+    written = {}
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            key = re.search(r"hashpartitioning\((\w+)#", node.simpleString(1000))
+            if key:
+                written[key.group(1)] = node.metrics().get("shuffleRecordsWritten").get().value()
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(executed)
+    assert written["l_orderkey"] == 4 * 100

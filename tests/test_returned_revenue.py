@@ -1,7 +1,7 @@
 """Edge cases on small hand-made tables, against brute force in Python."""
 
 from collections import defaultdict
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -210,6 +210,41 @@ def test_an_amount_that_is_not_whole_parts_fails_the_query(spark, line):
         run(spark, changed(lineitem=[line]))
 
 
+@pytest.mark.parametrize("ansi, price", [("true", 10.005), ("false", 9e15), ("true", float("nan"))])
+def test_an_amount_outside_the_result_fails_nothing(spark, conf, ansi, price):
+    conf("spark.sql.ansi.enabled", ansi)
+    lines = SMALL["lineitem"] + [(key, price, 0.0, "R") for key in range(9, 14)]
+    outside = [  # 13 is no order at all
+        (9, 1, datetime(2000, 1, 1)),
+        (10, 99, DAY),  # no such customer
+        (11, None, DAY),
+        (12, 1, None),
+    ]
+    tables = changed(lineitem=lines, orders=SMALL["orders"] + outside)
+    assert run(spark, tables) == [("ASIA", 1996, 2, 140.25), ("EUROPE", 1997, 1, 9.5)]
+    with pytest.raises(Exception, match="for an exact sum: [1-9N]"):
+        run(spark, changed(lineitem=lines, orders=SMALL["orders"] + [(13, 1, DAY)]))
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_product_or_sum_beyond_bigint_is_never_wrong(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    parts = {"price_parts": 1000, "discount_parts": 100_000}
+    with pytest.raises(Exception, match="too large for an exact sum: 9.0E11"):
+        run(spark, changed(lineitem=[(1, 9e11, 0.0, "R")]), **parts)
+    # Each line fits; a sum of their high halves does not.
+    lines = [(1, float(2**50), -float(2**12), "R")] * 3
+    assert run(spark, changed(lineitem=lines), price_parts=1, discount_parts=1) == [
+        ("ASIA", 1996, 3, float(3 * 2**50 * (2**12 + 1)))
+    ]
+
+
+@pytest.mark.parametrize("zoned", ["start", "end"])
+def test_a_zoned_range_is_refused(spark, zoned):
+    with pytest.raises(ValueError, match="without a zone"):
+        run(spark, SMALL, **{zoned: datetime(1996, 6, 1, tzinfo=timezone(timedelta(hours=5)))})
+
+
 def test_finer_amounts_need_finer_parts(spark):
     lines = [(1, 10.00525, 0.0, "R"), (1, 20.0, 0.0555, "R"), (2, 0.33333, 0.0001, "R")]
     tables = changed(lineitem=lines)

@@ -1,13 +1,15 @@
-from millrace.operators import gather, spread, spread_names, total_by
+import pytest
 
-SCHEMA = "k string, y bigint, a bigint, b double"
+from millrace.operators import total_by
+
+SCHEMA = "k string, y bigint, a bigint, b bigint, n_refused bigint, refused double"
 ROWS = [
-    ("p", 1, 10, 0.5),
-    ("p", 1, 5, None),
-    ("p", 2, 7, 1.5),
-    ("q", 2, None, 2.0),
-    (None, 1, 3, 4.0),
-    (None, 1, 4, 4.0),
+    ("p", 1, 10, 5, 0, None),
+    ("p", 1, 5, None, 1, 0.5),
+    ("p", 2, 7, 15, 2, 2.5),
+    ("q", 2, None, 20, 0, None),
+    (None, 1, 3, 40, 0, None),
+    (None, 1, 4, 40, 0, None),
 ]
 
 
@@ -15,24 +17,27 @@ def rows(frame):
     return sorted(map(tuple, frame.collect()), key=str)
 
 
-def test_total_by_keeps_null_keys_together_and_skips_null_measures(spark):
+def test_null_keys_are_one_group_and_null_measures_add_nothing(spark):
     totals = total_by(spark.createDataFrame(ROWS, SCHEMA), "k", ["a", "b"])
+    assert totals.columns == ["k", "a", "b", "n_refused", "refused"]
     assert rows(totals) == rows(
-        spark.createDataFrame([("p", 22, 2.0), ("q", None, 2.0), (None, 7, 8.0)], totals.schema)
+        spark.createDataFrame(
+            [("p", 22, 20, 3, 2.5), ("q", None, 20, 0, None), (None, 7, 80, 0, None)],
+            totals.schema,
+        )
     )
 
 
-def test_spread_names_follow_the_columns(spark):
-    frame = spark.createDataFrame(ROWS, SCHEMA).select(*spread(["a", "b"], "y", [1, 2]))
-    assert frame.columns == spread_names(["a", "b"], [1, 2]) == ["a_1", "b_1", "a_2", "b_2"]
+def test_two_keys(spark):
+    totals = total_by(spark.createDataFrame(ROWS, SCHEMA), ["k", "y"], ["a"])
+    assert ("p", 1, 15, 1, 0.5) in rows(totals) and len(rows(totals)) == 4
 
 
-def test_gather_undoes_spread(spark):
-    frame = spark.createDataFrame(ROWS, SCHEMA)
-    wide = frame.select("k", *spread(["a", "b"], "y", [1, 2]))
-    totals = total_by(wide, "k", spread_names(["a", "b"], [1, 2]))
-    back = gather(totals, "k", ["a", "b"], "y", [1, 2])
-    assert back.dtypes == [("k", "string"), ("y", "bigint"), ("a", "bigint"), ("b", "double")]
-    direct = frame.groupBy("k", "y").agg({"a": "sum", "b": "sum"}).select("k", "y", "sum(a)", "sum(b)")
-    absent = {("p", 1), ("p", 2), ("q", 1), ("q", 2), (None, 1), (None, 2)} - {r[:2] for r in rows(direct)}
-    assert rows(back) == sorted(rows(direct) + [(*pair, None, None) for pair in absent], key=str)
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_sum_that_does_not_fit_is_null_and_counted(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    big = [("p", 1, 2**62, 1, 0, None)] * 2 + [("q", 1, 2**62, 1, 0, None)]
+    totals = total_by(spark.createDataFrame(big, SCHEMA), "k", ["a", "b"])
+    assert rows(totals) == [("p", None, 2, 1, None), ("q", 2**62, 1, 0, None)]
+    # Nor does it vanish in a total of totals.
+    assert rows(total_by(totals, [], ["a", "b"])) == [(2**62, 3, 1, None)]
