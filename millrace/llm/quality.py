@@ -104,12 +104,12 @@ def _dup_lines(words: Words) -> np.ndarray:
     newline = np.flatnonzero(data == 0x0A)
     starts = np.union1d(words.offsets[:-1][np.diff(words.offsets) > 0], newline + 1)
     starts = starts[starts < n]
-    edges = np.sort(np.concatenate((newline, words.offsets[1:])))
-    ends = edges[np.searchsorted(edges, starts)]
+    text = np.searchsorted(words.offsets, starts, side="right") - 1
+    ends = np.append(newline, n)[np.searchsorted(newline, starts)]
+    ends = np.minimum(ends, words.offsets[text + 1])
     filled = np.concatenate(([0], np.cumsum(IS_WORD[data])))
     kept = filled[ends] > filled[starts]
-    starts, ends = starts[kept], ends[kept]
-    text = np.searchsorted(words.offsets, starts, side="right") - 1
+    starts, ends, text = starts[kept], ends[kept], text[kept]
     again = pd.Series(_of_text(span_hashes(data, starts, ends), text)).duplicated().to_numpy()
     return np.bincount(text[again], minlength=len(words.counts))
 
