@@ -8,10 +8,12 @@ a lone apostrophe takes the letters of an English ending.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import regex
+from tokenizers.pre_tokenizers import ByteLevel
 
 from millrace.llm.arrays import span_hashes
 
@@ -28,6 +30,13 @@ def classes() -> np.ndarray:
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, text):
             table[points[m.start() : m.end()]] = kind
+    # The newest characters are in some Unicode tables and not in others. The library's own
+    # count: beside a letter or number, one of the same class makes one piece with it.
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for c in np.flatnonzero(table != OTHER).tolist():
+        if unicodedata.category(chr(c)) == "Cn":
+            sample = {LETTER: "a", NUMBER: "1", OTHER: "!"}
+            table[c] = next((k for k, x in sample.items() if len(split(x + chr(c))) == 1), SPACE)
     return table
 
 
