@@ -1,0 +1,157 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import LONG, collected, empty_docs, odd_docs
+
+from millrace.llm.decontaminate import (
+    Items,
+    PlainWords,
+    _distances,
+    embedded_hashes,
+    leaks,
+    leaks_of,
+    window_size,
+    without_leaks,
+)
+
+DRAW = random.Random(9)
+POOL = ["".join(DRAW.choices("aeiourstlnmdé", k=DRAW.randint(2, 7))) for _ in range(3000)]
+ITEMS = [(k, " ".join(DRAW.choices(POOL, k=DRAW.choice([8, 11, 15, 24, 40, 60, 130])))) for k in range(60)]
+
+
+def edited(text, edits, draw):
+    words = text.split()
+    for _ in range(edits):
+        at = draw.randrange(len(words))
+        kind = draw.randrange(3)
+        if kind == 0:
+            words[at] = draw.choice(POOL)
+        elif kind == 1:
+            words.insert(at, draw.choice(POOL))
+        else:
+            del words[at]
+    return " ".join(words)
+
+
+def filler(draw, n):
+    return " ".join(draw.choices(POOL, k=n))
+
+
+def edit_distance(item, words):
+    """Edits from ``item`` to the best adjacent words of ``words``."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_distances_are_exact():
+    draw = np.random.default_rng(0)
+    for _ in range(50):
+        item = draw.integers(1, 5, draw.integers(1, 9)).astype(np.uint64)
+        places = draw.integers(1, 5, (3, 12)).astype(np.uint64)
+        got = _distances(item, places).min(axis=1).tolist()
+        assert got == [edit_distance(item.tolist(), p) for p in places.tolist()]
+
+
+def test_embeddings_follow_the_words_of_the_window_alone():
+    h = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    moved = np.concatenate((h[100:140], h[:40], h[150:160]))
+    for a, b in zip(embedded_hashes(h, np.array([0, 8]), 16), embedded_hashes(moved, np.array([40, 48]), 16), strict=True):
+        assert a.tolist() == b.tolist() and a[0] != a[1]
+
+
+def test_a_few_edits_leave_some_hash_alike():
+    """The embedding carries few edits over to few places: that is what is sampled."""
+    draw, alike = random.Random(4), 0
+    for _ in range(60):
+        words = draw.choices(POOL, k=16)
+        other = edited(" ".join(words), 1, draw).split()[:16] + ["pad"] * 2
+        h = [PlainWords(pa.array([" ".join(w[:16])])).hashes() for w in (words, other)]
+        if min(map(len, h)) < 16:
+            alike += 1
+            continue
+        alike += any(
+            a[0] == b[0]
+            for a, b in zip(*(embedded_hashes(x, np.array([0]), 16) for x in h), strict=True)
+        )
+    assert alike >= 50
+
+
+def test_windows_fit_in_items_wherever_they_begin():
+    for n in range(1, 300):
+        w = window_size(n)
+        assert w + max(1, w // 2) - 1 <= n or w == 1
+        assert n < 2 * w + w - 1
+
+
+@pytest.mark.parametrize("share", [0, 0.05, 0.1, 0.15, 0.2])
+def test_recall_of_edited_items(share):
+    draw, items = random.Random(int(share * 100)), Items.of(*map(list, zip(*ITEMS, strict=True)), 8)
+    texts, wanted = [], []
+    for k, text in ITEMS * 3:
+        leak = edited(text, int(share * len(text.split())), draw)
+        texts.append(f"{filler(draw, draw.randint(0, 90))} {leak} {filler(draw, 60)}")
+        wanted.append(k)
+    got = leaks_of(items, pa.array(texts), 80)
+    hits = set(zip(got["text"].tolist(), got["item"].tolist(), strict=True))
+    found = sum((t, k) in hits for t, k in enumerate(wanted))
+    assert found >= len(wanted) * (1 if share == 0 else 0.95)
+    assert len(hits) == found  # and nothing else
+
+
+def test_what_is_found_is_right():
+    draw, items = random.Random(3), Items.of(*map(list, zip(*ITEMS, strict=True)), 8)
+    texts = [
+        f"{filler(draw, 20)} {edited(t, draw.randint(0, len(t.split()) // 4), draw)} {filler(draw, 20)}"
+        for _, t in ITEMS
+    ]
+    got = leaks_of(items, pa.array(texts), 80)
+    assert len(got["text"]) > 30
+    for t, k, edits, start, end in zip(*(got[c].tolist() for c in ("text", "item", "edits", "start", "end")), strict=True):
+        item, words = ITEMS[k][1].split(), texts[t].split()
+        assert edits == edit_distance(item, words) <= len(item) // 5
+        assert edit_distance(item, words[int(start) : int(end)]) == edits
+
+
+def test_case_and_punctuation_do_not_hide_an_item(spark):
+    item = ITEMS[4][1]
+    loud = f"“{item.upper()}”!".replace(" ", " ,  ")
+    docs = odd_docs(spark, [(1, loud), (2, item), (2, item), (3, "x " + item[: len(item) // 2]), (None, item)])
+    bench = spark.createDataFrame(
+        [*ITEMS, (90, None), (None, item), (91, ""), (92, "too short to tell"), (93, item)],
+        "item_id bigint, text string",
+    )
+    got = leaks(docs, bench)
+    assert got.columns == ["doc_id", "item_id", "n_words", "edits", "start_word", "end_word"]
+    n = len(item.split())
+    rows = sorted(collected(got), key=str)
+    assert rows == sorted(
+        ((d, k, n, 0, 0, n) for d in (1, 2, 2, None) for k in (4, 93)), key=str
+    )
+    left = without_leaks(docs, bench)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [3]
+
+
+def test_a_large_benchmark_takes_several_passes(spark):
+    draw = random.Random(5)
+    rows = [(k, f"{filler(draw, 9)} {t} {filler(draw, 9)}") for k, t in ITEMS]
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    several = leaks(docs, bench, block_bytes=4000)
+    assert sorted(r[:2] for r in collected(several)) == [(k, k) for k, _ in ITEMS]
+    assert collected(without_leaks(docs, bench, block_bytes=8000)) == []
+
+
+def test_rows_of_all_kinds_and_no_items(spark):
+    bench = spark.createDataFrame([(1, LONG[:100]), (2, "never ever " * 8)], "item_id bigint, text string")
+    assert {r[:2] for r in collected(leaks(odd_docs(spark), bench))} == {(5, 1)}
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert collected(leaks(odd_docs(spark), none)) == []
+    assert without_leaks(odd_docs(spark), none).count() == odd_docs(spark).count()
+    assert collected(leaks(empty_docs(spark), bench)) == []

@@ -1,0 +1,94 @@
+"""The pipeline stage by stage, each against a brute-force version of its decisions."""
+
+import re
+
+import public_tokenizers
+import pytest
+from test_minhash import brute_force as duplicates
+from test_pii import brute_force as personal
+from test_quality import brute_force as quality
+from tokenizers import Tokenizer
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from millrace.llm.queries import ORACLE_SQL, QUERIES
+from millrace.llm.shared import written
+from millrace.sources import read_table
+
+SF_DIR = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """What each stage was given and gave, by name."""
+    docs, out = read_table(spark, SF_DIR, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = written(stage(spark, docs, SF_DIR), name)
+        out[name] = ([tuple(r) for r in docs.collect()], after.columns, [tuple(r) for r in after.collect()])
+        docs = after
+    return out
+
+
+def test_stages_and_columns(steps):
+    assert list(steps) == ["quality", "near_dedup", "decontaminate", "personal_data", "bpe"]
+    assert all(columns == COLUMNS for n, (_, columns, _) in steps.items() if n != "bpe")
+
+
+def test_quality_rules_reject_what_they_should(steps):
+    before, _, after = steps["quality"]
+    assert 0 < len(after) < len(before)
+    small = [r for r in before if len(r[1].split()) < 700]
+    kept = {r[0] for r in after}
+    assert {r[0] for r in small if quality(r[1])[-1]} == {r[0] for r in small} & kept
+    assert set(after) <= set(before)
+
+
+def test_one_document_of_each_group_stays(steps):
+    before, _, after = steps["near_dedup"]
+    told = duplicates([r[:2] for r in before], percent=80)
+    assert sorted(after) == sorted(r for r in before if r[0] in {d for d, *_, kept in told if kept})
+    assert len(after) < len(before)
+
+
+def test_no_benchmark_passage_stays(spark, steps):
+    before, _, after = steps["decontaminate"]
+    plain = lambda s: " " + " ".join(re.findall(r"[^\W_]+", s.lower())) + " "
+    items = [plain(r.text) for r in read_table(spark, SF_DIR, "benchmark").collect()]
+    leaked = {r for r in before if any(i in plain(r[1]) for i in items)}
+    assert leaked and sorted(after) == sorted(set(before) - leaked)
+
+
+def test_personal_data_is_gone_and_the_rest_stays(steps):
+    before, _, after = steps["personal_data"]
+    old = {r[0]: r for r in before}
+    assert len(after) == len(before)
+    changed = 0
+    for doc, text, *rest, n_chars in after:
+        assert n_chars == len(text) and tuple(rest) == old[doc][2:4]
+        if personal(old[doc][1])[1]:
+            changed += 1
+            assert not personal(text)[1] and text != old[doc][1]
+        else:
+            assert text == old[doc][1]
+    assert changed
+
+
+def test_ids_are_those_of_the_texts_left(steps):
+    before, columns, after = steps["bpe"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r[0]: r[1] for r in before}
+    assert columns == ["doc_id", "ids"] and sorted(r[0] for r in after) == sorted(texts)
+    assert all(library.encode(texts[d], add_special_tokens=False).ids == ids for d, ids in after)
+
+
+def test_run_gives_the_last_stages_rows(spark, steps):
+    got = [tuple(r) for r in corpus_pipeline.run(spark, SF_DIR).collect()]
+    assert sorted(got) == sorted(steps["bpe"][2])
+
+
+def test_all_are_registered():
+    names = set(contract.queries())
+    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in QUERIES}
+    assert names >= {*QUERIES, "pipeline"} and set(contract.oracle_sql()) >= set(ORACLE_SQL)
+    assert set(ORACLE_SQL) <= set(QUERIES)

@@ -1,0 +1,145 @@
+"""Flat token files and record files, against the library and plain sums."""
+
+import zlib
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
+import pytest
+from cases import LONG, ROWS, collected, empty_docs, odd_docs
+from tokenizers import Tokenizer
+
+from millrace.llm.token_counts import document_token_counts, token_counts, write_flat
+from millrace.llm.token_records import frame, masked, read_records, unframed, write_records
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def library(special=True):
+    out = Tokenizer.from_file(PATH)
+    out.encode_special_tokens = not special
+    return lambda t: out.encode(t or "", add_special_tokens=False).ids
+
+
+def expected_records(rows):
+    ids_of, at, out = library(), 0, []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*ids_of(text), 2]
+        out.append((doc, at, ids))
+        at += len(ids)
+    return out
+
+
+def test_records_come_back_in_order(spark):
+    rows = [r for r in ROWS if r[0] is not None] + [(-5, "first"), (2**62, "last")]
+    manifest = write_records(odd_docs(spark, rows, 3), PATH, 2)
+    got = sorted(collected(read_records(manifest)), key=lambda r: r[1])
+    assert [(d, s, ids) for d, s, _, ids in got] == expected_records(rows)
+    assert all(len(ids) == n for _, _, n, ids in got)
+    shuffled = collected(read_records(manifest, seed=1))
+    assert sorted(shuffled, key=str) == sorted(got, key=str)
+    digests = {r[1]: r[3] for r in collected(read_records(manifest, digest=True))}
+    assert digests == {s: zlib.crc32(np.array(ids, "<u4").tobytes()) for _, s, _, ids in got}
+
+
+def test_null_ids_come_first_and_stay_null(spark):
+    manifest = write_records(odd_docs(spark), PATH, 2, width=32)
+    got = sorted(collected(read_records(manifest, width=32)), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 1, 1, 2, 3, 4, 5, 6, 7]
+    assert sum(r[2] for r in got) == sum(len(x[2]) for x in expected_records(ROWS))
+    assert collected(read_records(write_records(empty_docs(spark), PATH, 2))) == []
+
+
+def test_a_damaged_file_is_found_out(spark):
+    manifest = write_records(odd_docs(spark, parts=1), PATH, 2)
+    path = Path(manifest.first()["path"].removeprefix("file://"))
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 1
+    path.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="damaged"):
+        read_records(manifest).collect()
+
+
+def test_frames():
+    both = frame(b"abc") + frame(b"")
+    assert unframed(both) == (b"abc", 19) and unframed(both, 19) == (b"", 35)
+    assert masked(b"") == 0xA282EAD8
+    for k in range(len(both)):
+        with pytest.raises(ValueError, match="damaged"):
+            payload, at = unframed(both[:k])
+            unframed(both[:k], at)
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    with pytest.raises(Exception, match="do not fit in 16 bits"):
+        write_records(odd_docs(spark), PATH, 1 << 16)
+
+
+def flat_files(spark, tmp_path, streams):
+    rows = []
+    for k, ids in enumerate(streams):
+        path = tmp_path / f"{k}.ids"
+        path.write_bytes(np.array(ids, "<u2").tobytes())
+        rows.append((k, f"file://{path}"))
+    return spark.createDataFrame(rows, "file bigint, path string").repartition(3)
+
+
+def plain_counts(ids, end):
+    out, start = [], 0
+    for k, x in enumerate(ids):
+        if x == end:
+            out.append((len(out), start, k - start, True))
+            start = k + 1
+    if start < len(ids):
+        out.append((len(out), start, len(ids) - start, False))
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 6, 1 << 20])
+def test_documents_over_blocks_and_files(spark, tmp_path, block):
+    streams = [[1, 2, 9, 3, 4, 5, 6, 7, 8], [], [1, 1, 1], [9, 9, 2, 9], [5, 5], [9, 7]]
+    files = flat_files(spark, tmp_path, streams)
+    got = sorted(collected(token_counts(files, 9, block_bytes=block)))
+    assert got == plain_counts(sum(streams, []), 9)
+
+
+def test_any_stream(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    streams = [draw.integers(0, 12, draw.integers(0, 400)).tolist() for _ in range(6)]
+    got = sorted(collected(token_counts(flat_files(spark, tmp_path, streams), 9, block_bytes=64)))
+    assert got == plain_counts(sum(streams, []), 9)
+
+
+def test_streams_without_ends_or_ids(spark, tmp_path):
+    assert collected(token_counts(flat_files(spark, tmp_path, [[1, 2], [3]]), 9)) == [(0, 0, 3, False)]
+    assert collected(token_counts(flat_files(spark, tmp_path, [[], []]), 9)) == []
+    none = spark.createDataFrame([], "file bigint, path string")
+    assert collected(token_counts(none, 9)) == []
+
+
+def test_odd_blocks_and_broken_files_are_refused(spark, tmp_path):
+    files = flat_files(spark, tmp_path, [[1, 9]])
+    with pytest.raises(ValueError, match="whole ids"):
+        token_counts(files, 9, block_bytes=3)
+    (tmp_path / "0.ids").write_bytes(b"abc")
+    with pytest.raises(Exception, match="ends within an id"):
+        token_counts(files, 9)
+
+
+def test_each_row_finds_its_count(spark):
+    counts = document_token_counts(odd_docs(spark, parts=3), PATH, 50256)
+    got = collected(counts)
+    ids_of = library(special=False)
+    assert sorted((r[0], r[3]) for r in got if r[0] is not None) == sorted(
+        (k, len(ids_of(t))) for k, t in ROWS if k is not None
+    )
+    by_place = sorted(got, key=lambda r: r[1])
+    assert [r[1] for r in by_place] == list(range(len(ROWS)))
+    assert [r[2] for r in by_place] == [sum(x[3] + 1 for x in by_place[:k]) for k in range(len(ROWS))]
+    assert len(ids_of(LONG)) > 10_000
+    assert collected(document_token_counts(empty_docs(spark), PATH, 50256)) == []
+
+
+def test_an_end_within_a_text_is_refused(spark):
+    with pytest.raises(Exception, match="is the end id"):
+        write_flat(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), PATH, library()("a")[0])
