@@ -59,10 +59,10 @@ def made(seed):
     draw = random.Random(seed)
     out = []
     for _ in range(40):
-        most, words = draw.choice([40, 5000]), []
+        most, size, words = draw.choice([40, 5000]), draw.choice([0, 3, 49, 50, 120]), []
         word = lambda n=most: draw.choice(["", "é", "ab", "#x", "<b>", "cd*"]) + str(draw.randint(0, n))
         passage = [word() for _ in range(15)]
-        while len(words) < draw.choice([0, 3, 49, 50, 120]):
+        while len(words) < size:
             words += draw.choice([[word()]] * 200 + [passage, ["same", "line", "here"]])
         out.append("".join(w + draw.choice([" ", " ", "\n", "\n\n", "\t ", "\r\n"]) for w in words))
     return out
