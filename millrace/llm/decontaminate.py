@@ -41,12 +41,21 @@ _PLAIN[0x80:] = range(0x80, 0x100)
 
 
 class PlainWords(Words):
-    """Words of letters and digits: A-Z and À-Þ lowered, other ASCII characters part words."""
+    """Words of letters and digits: A-Z and À-Þ lowered.
+
+    Other characters of ASCII, the signs of Latin-1 (U+0080 to U+00BF) and general
+    punctuation (U+2000 to U+207F) part words; all others count as letters.
+    """
 
     def __init__(self, column: pa.Array):
         data, offsets = utf8(column)
         plain = _PLAIN[data]
         # In UTF-8, À to Þ are C3 80 to C3 9E, and à to þ lie 20 higher; × is none of them.
+        for lead, nexts, size in ((0xC2, (0x80, 0xBF), 2), (0xE2, (0x80, 0x81), 3)):
+            at = np.flatnonzero(plain[:-1] == lead)
+            at = at[(plain[at + 1] >= nexts[0]) & (plain[at + 1] <= nexts[1])]
+            for k in range(size):
+                plain[at + k] = 0x20
         low = np.flatnonzero(plain[:-1] == 0xC3) + 1
         low = low[(plain[low] >= 0x80) & (plain[low] <= 0x9E) & (plain[low] != 0x97)]
         plain[low] += 0x20
