@@ -24,9 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    stars, before = written(pairs.distinct(), "stars"), None
-    while (now := _state(stars)) != before:
-        before = now
+    stars = written(pairs.distinct(), "stars")
+    while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -38,6 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _state(stars: DataFrame) -> tuple:
-    """Number and check sum of the edges."""
-    return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and no larger, or only larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"))
+    )
+    of_node = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not of_node.agg(F.bool_or(F.expr("ups > 1 or (ups = 1 and least = 0)"))).first()[0]

@@ -10,8 +10,10 @@ size inside tasks: signatures first, and where these don't rule a link out, the
 Only links that join what was not joined yet leave a task.
 
 A group of several blocks is compared within each block, every one with the group's leader.
-Where it isn't of one piece then, each class outside its largest piece is compared with all
-of the group, again by blocks: no link is lost, whatever the size of a group.
+What the blocks find meets in the leader alone, so each class's piece is known without
+another search for components. Where a group isn't of one piece, each class outside its
+largest piece is compared with all of the group, again by blocks: no link is lost, whatever
+the size of a group.
 """
 
 from __future__ import annotations
@@ -174,11 +176,12 @@ class _Joined:
         self.parent[max(a, b)] = min(a, b)
 
 
-def _compared(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches, size: int, percent: int, pieces: bool) -> Iterator[pa.RecordBatch]:
     """Edges ``a, b`` between classes of each block (``grp, block``) that links join.
 
     Rows with ``piece`` equal are joined already. With ``minor``, only pairs of which one
-    is minor are compared.
+    is minor are compared. With ``pieces``, edges lead from each class to the name of its
+    piece: the group's leader if that is in it, else the smallest class.
     """
     share = percent / 100
     least = share - DEVIATIONS * np.sqrt(share * (1 - share) / (2 * PERMUTATIONS))
@@ -191,7 +194,7 @@ def _compared(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
         made_a, made_b = [], []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             part = table.slice(lo, hi - lo)
-            for a, b in _links_of(part, size, percent, least):
+            for a, b in _links_of(part, size, percent, least, pieces):
                 made_a.append(a)
                 made_b.append(b)
         yield pa.RecordBatch.from_arrays(
@@ -199,7 +202,9 @@ def _compared(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _links_of(part: pa.Table, size: int, percent: int, least: float) -> list[tuple[bytes, bytes]]:
+def _links_of(
+    part: pa.Table, size: int, percent: int, least: float, as_pieces: bool
+) -> list[tuple[bytes, bytes]]:
     seen: set[bytes] = set()
     keep = []
     wanted = part["set_key"].to_pylist()
@@ -238,7 +243,14 @@ def _links_of(part: pa.Table, size: int, percent: int, least: float) -> list[tup
             if 100 * both >= percent * (counts[i] + counts[j] - both):
                 joined.join(i, j)
                 edges.append((keys[i], keys[j]))
-    return edges
+    if not as_pieces:
+        return edges
+    # The leader is the group's smallest class, so it is its piece's, too.
+    name: dict[int, bytes] = {}
+    for k, key in enumerate(keys):
+        root = joined.root(k)
+        name[root] = min(key, name.get(root, key))
+    return [(key, own) for k, key in enumerate(keys) if (own := name[joined.root(k)]) != key]
 
 
 def near_duplicates(
@@ -285,18 +297,12 @@ def near_duplicates(
     ties = banded.join(shared.where("n > 1"), "band").select(F.col("set_key").alias("a"), "b")
     groups = written(components(ties), "groups")
 
-    linked = _linked(narrow, classes, groups, size, percent, block_classes, block_shingles)
-    pieces = components(linked)
-    smallest = (
-        classes.join(pieces, classes["set_key"] == pieces["node"])
-        .groupBy("component")
-        .agg(F.min("rep").alias("smallest"))
-    )
-    of_class = (
-        classes.select("set_key", "rep")
-        .join(pieces.join(smallest, "component"), F.col("set_key") == F.col("node"), "left")
-        .select("set_key", F.coalesce("smallest", "rep").alias("of_class"))
-    )
+    pieces = _pieces(narrow, classes, groups, size, percent, block_classes, block_shingles)
+    pieced = classes.select("set_key", "rep").join(
+        pieces, F.col("set_key") == F.col("node"), "left"
+    ).select("set_key", "rep", F.coalesce("component", "set_key").alias("piece"))
+    smallest = pieced.groupBy("piece").agg(F.min("rep").alias("of_class"))
+    of_class = pieced.join(smallest, "piece").select("set_key", "of_class")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("of_class"))
     return (
         told.select("doc_id", "text_hash", "n_shingles", "set_key")
@@ -311,7 +317,8 @@ def near_duplicates(
     )
 
 
-def _linked(docs, classes, groups, size, percent, block_classes, block_shingles) -> DataFrame:
+def _pieces(docs, classes, groups, size, percent, block_classes, block_shingles) -> DataFrame:
+    """``node, component`` of the classes that are linked with a smaller one."""
     members = groups.join(classes, groups["node"] == classes["set_key"]).select(
         F.col("component").alias("grp"), "set_key", "rep", "n_shingles", "sketch"
     )
@@ -323,11 +330,11 @@ def _linked(docs, classes, groups, size, percent, block_classes, block_shingles)
         )
         return frame.groupBy("grp").agg(count.cast("int").alias(names))
 
-    def compared(rows: DataFrame) -> DataFrame:
+    def compared(rows: DataFrame, pieces: bool) -> DataFrame:
         texts = rows.join(docs, F.col("rep") == F.col("doc_id"))
         columns = ["grp", "block", "set_key", "sketch", "piece", "minor", "text"]
         dealt = texts.select(*columns).repartition("grp", "block").sortWithinPartitions("grp", "block")
-        return dealt.mapInArrow(lambda b: _compared(b, size, percent), "a binary, b binary")
+        return dealt.mapInArrow(lambda b: _compared(b, size, percent, pieces), "a binary, b binary")
 
     def spread(column: str, n: str):
         return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
@@ -345,14 +352,15 @@ def _linked(docs, classes, groups, size, percent, block_classes, block_shingles)
     ).select(
         "*", F.lit(None).cast("binary").alias("piece"), F.lit(True).alias("minor")
     )
-    found = written(compared(first), "links")
+    found = written(compared(first, True), "pieces").select(
+        F.col("a").alias("node"), F.col("b").alias("component")
+    )
 
     # Groups of several blocks that are not of one piece yet.
     several = written(placed.where("n_blocks > 1"), "several")
     if several.isEmpty():
         return found
-    pieces = components(found)
-    pieced = several.join(pieces, F.col("set_key") == F.col("node"), "left").withColumn(
+    pieced = several.join(found, F.col("set_key") == F.col("node"), "left").withColumn(
         "piece", F.coalesce("component", "set_key")
     )
     sizes = pieced.groupBy("grp", "piece").agg(F.count("*").alias("n"))
@@ -379,7 +387,15 @@ def _linked(docs, classes, groups, size, percent, block_classes, block_shingles)
         "block",
         F.explode(F.array_distinct(F.when(F.col("minor"), F.concat(of_all, of_minor)).otherwise(of_all))),
     )
-    return found.unionByName(written(compared(pairs), "links"))
+    links = written(compared(pairs, False), "links")
+    # Pieces of these groups that the links join; components of pieces, then of classes.
+    of_piece = open_.select("set_key", "piece")
+    ends = links.join(of_piece.toDF("a", "piece_a"), "a").join(of_piece.toDF("b", "piece_b"), "b")
+    joined = components(ends.select(F.col("piece_a").alias("a"), F.col("piece_b").alias("b")))
+    moved = of_piece.join(joined, F.col("piece") == F.col("node"), "left").select(
+        F.col("set_key").alias("node"), F.coalesce("component", "piece").alias("component")
+    )
+    return found.join(open_.select("set_key"), F.col("node") == F.col("set_key"), "left_anti").unionByName(moved)
 
 
 def without_near_duplicates(
@@ -396,3 +412,35 @@ def without_near_duplicates(
         (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]),
         "left_anti",
     )
+
+
+NEAR_DUPLICATES_SQL = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id,
+               regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id,
+               array_to_string(w[k : k + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k
+              FROM words WHERE len(w) > 0)
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), links AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN sizes n ON n.doc_id = a.doc_id JOIN sizes m ON m.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, n.n, m.n
+        HAVING 100 * count(*) >= 85 * (n.n + m.n - count(*))
+    ), reached AS (
+        SELECT doc_id AS x, doc_id AS y FROM documents
+        UNION
+        SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+    ), components AS (
+        SELECT x, min(y) AS component_id FROM reached GROUP BY x
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN components c ON c.x = d.doc_id
+"""
