@@ -217,3 +217,50 @@ def passing(
                 yield part.filter(pa.array(got["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+#: Runs of equal words at one distance are what two suffixes of a text have in common.
+QUALITY_SQL = r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(text, '') AS t FROM documents
+    ), words AS (
+        SELECT doc_id, unnest(w) AS s, unnest(range(len(w))) AS i
+        FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts)
+    ), pairs AS (
+        SELECT a.doc_id, a.i, b.i - a.i AS d,
+               a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS run
+        FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i
+    ), runs AS (
+        SELECT doc_id, d, min(i) AS i, count(*) AS n FROM pairs GROUP BY doc_id, d, run
+    ), inside AS (
+        SELECT doc_id, unnest(range(i, i + n)) AS k, n FROM runs WHERE n >= 3
+        UNION ALL
+        SELECT doc_id, unnest(range(i + d, i + d + n)), n FROM runs WHERE n >= 3
+    ), repeated AS (
+        SELECT doc_id, count(DISTINCT k) AS n_repeat_words,
+               count(DISTINCT k) FILTER (n >= 10) AS covered_words
+        FROM inside GROUP BY doc_id
+    ), longest AS (
+        SELECT doc_id, max(n) AS longest_repeat FROM runs GROUP BY doc_id
+    ), lines AS (
+        SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n_words, CAST(sum(length(s)) AS BIGINT) AS word_chars
+        FROM words GROUP BY doc_id
+    ), counts AS (
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+               length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines,
+               coalesce(n_repeat_words, 0) AS n_repeat_words,
+               coalesce(covered_words, 0) AS covered_words,
+               coalesce(longest_repeat, 0) AS longest_repeat
+        FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN lines USING (doc_id)
+        LEFT JOIN repeated USING (doc_id) LEFT JOIN longest USING (doc_id)
+    )
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+           AND 5 * covered_words <= n_words AND longest_repeat <= 100 AS kept
+    FROM counts
+"""

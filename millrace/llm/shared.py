@@ -37,11 +37,3 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark, path = frame.sparkSession, new_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def free_name(frame: DataFrame, name: str) -> str:
-    """``name``, with underscores before it if ``frame`` has such a column, in any case."""
-    taken = {c.lower() for c in frame.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name

@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers
 import pytest
+from oracle import DUCKDB_TYPES, run_sql
 from test_minhash import brute_force as duplicates
 from test_pii import brute_force as personal
 from test_quality import brute_force as quality
@@ -87,6 +88,17 @@ def test_run_gives_the_last_stages_rows(spark, steps):
     assert sorted(got) == sorted(steps["bpe"][2])
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", ["op3_minhash", "op9_quality"])
+def test_queries_are_their_sql(spark, name, scale):
+    sf_dir = f"/root/testdata/{scale}"
+    frame = QUERIES[name](spark, sf_dir)
+    schema, expected = run_sql(sf_dir, ORACLE_SQL[name])
+    kinds = {**DUCKDB_TYPES, "boolean": "BOOLEAN"}
+    assert [(c, kinds[k]) for c, k in frame.dtypes] == schema
+    assert sorted(tuple(r) for r in frame.collect()) == sorted(expected)
+
+
 def test_all_are_registered():
     names = set(contract.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in QUERIES}
