@@ -28,7 +28,7 @@ from millrace.llm.arrays import Words, mixed, ranges, slices, span_hashes, utf8
 WALKS = 4
 SAMPLES = 4  # hashes of each walk
 STEPS = 4  # sampled for a hash
-PERCENT = 80
+PERCENT = 70
 MIN_WORDS = 8
 BLOCK_BYTES = 4 << 20
 VERIFY_CELLS = 4 << 20
