@@ -28,7 +28,7 @@ UNDETERMINED = "und"
 TABLE_BITS = 18
 LONGEST_GRAM = 4
 SEQUENCE = 64  # words; longer texts are several sequences
-TEXTS_PER_LANGUAGE = 300
+TEXTS_PER_LANGUAGE = 150
 MOST_LANGUAGES = 200
 LONGEST_TEXT = 1 << 16  # bytes of a text to learn from
 ROUNDS = 25
@@ -46,7 +46,7 @@ def features(words: PlainWords, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = np.cumsum(wide) - wide
     flat = np.full(int(wide.sum()), 0x20, np.uint64)
     flat[ranges(begin + 1, size)] = words.data[ranges(words.starts[chosen], size)]
-    rows, owner = [mixed(words.hashes()[chosen])], [np.arange(len(chosen))]
+    rows, owner = [mixed(words.hashes()[chosen])], [np.arange(len(chosen), dtype=np.int32)]
     for n in range(1, LONGEST_GRAM + 1):
         counts = np.maximum(0, wide - n + 1)
         at = ranges(begin, counts)
@@ -54,10 +54,10 @@ def features(words: PlainWords, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
         for k in range(n):
             value = value * np.uint64(257) + flat[at + k]
         rows.append(mixed(value))
-        owner.append(np.repeat(np.arange(len(chosen)), counts))
+        owner.append(np.repeat(np.arange(len(chosen), dtype=np.int32), counts))
     all_rows, all_owners = np.concatenate(rows), np.concatenate(owner)
     order = np.argsort(all_owners, kind="stable")
-    return (all_rows[order] >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.bincount(
+    return (all_rows[order] >> np.uint64(64 - TABLE_BITS)).astype(np.int32), np.bincount(
         all_owners, minlength=len(chosen)
     )
 
@@ -151,7 +151,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS, seed: int = 0
     example = np.zeros(code.max() + 1, np.int64)
     example[code[::-1]] = np.arange(len(code))[::-1]
     rows, counts = features(words, example)
-    owner = np.repeat(np.arange(len(counts)), counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     label = np.searchsorted(languages, labels)[words.text]
     # Sequences of two halves: the second one is, for every other sequence, another text's.
     text, begin, size = _sequences(words.counts)
