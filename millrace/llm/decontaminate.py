@@ -4,19 +4,21 @@ Words are the symbols. The CGK embedding of a window walks along it at random: a
 gives the word under its pointer and goes on to the next if the word's t-th random bit says
 so. Two windows a few edits apart give embeddings a few positions (Hamming) apart, since
 their walks fall in step again after an edit. Bit sampling hashes an embedding to what it
-has at a few steps; several walks and samples give a small number of edits many chances.
+has at a few of its first steps; several walks and samples give edits many chances.
 
 Windows are sized by the items: an item of n words is looked for by windows of w words,
-the largest power of two with w + w/2 - 1 <= n, taken from a text each w/2 words and from
-an item at each word. So wherever a text holds an item, some window of it is one of the
-item's, shifts included. A window that shares a hash places the item in the text; there the
-edit distance of the whole item to its best place is computed exactly.
+the largest power of two with w + w/2 - 1 <= n, taken from a text each w/4 words and from
+an item at each word, cut where the text or item ends. How many walks a window size takes
+follows from the edits allowed and a recall, by trials on items with as many edits as that.
+A window that shares a hash places the item in the text; there the edit distance of the
+whole item to its best place is computed exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 from millrace.llm.arrays import Words, mixed, ranges, slices, span_hashes, utf8
 
 WALKS = 4
-SAMPLES = 4  # hashes of each walk
+SAMPLES = 8  # hashes of each walk
 STEPS = 4  # sampled for a hash
+SPAN = 12  # the first steps of a walk, of which they are
+DISTINCT = 3  # words that the sampled steps have to be on
+RECALL = 0.995  # of items with as many edits as allowed
+TRIALS = 400  # for each length
+MOST_WALKS = 64
 PERCENT = 70
 MIN_WORDS = 8
 BLOCK_BYTES = 4 << 20
@@ -74,29 +81,118 @@ def window_size(n: int) -> int:
     return w
 
 
-def _sampled(w: int, walk: int) -> np.ndarray:
-    """The steps of each sample of a walk over windows of ``w`` words, a row a sample."""
-    draw = np.random.default_rng([w, walk])
-    steps = min(STEPS, 2 * w)
-    return np.stack([np.sort(draw.choice(2 * w, steps, replace=False)) for _ in range(SAMPLES)])
+def stride(w: int) -> int:
+    """Words from a window of a text to its next."""
+    return max(1, w // 4)
+
 
+@lru_cache(maxsize=None)
+def _sampled(w: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of each sample of a walk over windows of ``w`` words, a row a sample.
 
-def embedded_hashes(h: np.ndarray, starts: np.ndarray, w: int) -> Iterator[np.ndarray]:
-    """For each walk and sample, a hash of each window ``h[start:start + w]``."""
-    for walk in range(WALKS):
+    And for each sample and each set of steps that go on, how many words it is on.
+    """
+    draw = np.random.default_rng([w, walk])
+    steps = np.stack([np.sort(draw.choice(SPAN, STEPS, replace=False)) for _ in range(SAMPLES)])
+    moves = np.arange(1 << SPAN)
+    between = [[(1 << b) - (1 << a) for a, b in zip(row, row[1:])] for row in steps.tolist()]
+    words = np.array([1 + sum((moves & gap) > 0 for gap in row) for row in between], np.uint8)
+    return steps, words
+
+
+def embedded_hashes(
+    h: np.ndarray,
+    starts: np.ndarray,
+    w: int,
+    stops: np.ndarray | None = None,
+    walks: int = WALKS,
+    distinct: int = 1,
+) -> Iterator[np.ndarray]:
+    """For each walk and sample, a hash of each window ``h[start:start + w]``, cut at its stop.
+
+    It is 0 where the steps sampled leave the window or are on fewer than ``distinct`` words.
+    """
+    stops = starts + w if stops is None else np.minimum(starts + w, stops)
+    for walk in range(walks):
         symbols = np.append(mixed(h ^ mixed(np.array([walk + 1], np.uint64))), np.uint64(0))
-        sampled = _sampled(w, walk)
-        hashes = [np.full(len(starts), k + 1, np.uint64) for k in range(len(sampled))]
-        at, stop = starts.copy(), starts + w
-        for t in range(int(sampled.max()) + 1):
-            if t and t % 64 == 0:
-                symbols = mixed(symbols)  # 64 more bits
-                symbols[-1] = 0
-            word = symbols[np.where(at < stop, at, len(h))]
-            for k in np.flatnonzero((sampled == t).any(axis=1)).tolist():
-                hashes[k] = mixed(hashes[k] * np.uint64(0xD6E8FEB86659FD93) + word)
-            at += ((word >> np.uint64(t % 64)) & np.uint64(1)).astype(np.int64)
-        yield from hashes
+        steps, on = _sampled(w, walk)
+        factors = mixed(np.arange(1, steps.size + 1, dtype=np.uint64)).reshape(steps.shape) | np.uint64(1)
+        hashes = [np.zeros(len(starts), np.uint64) for _ in steps]
+        inside = [None] * len(steps)
+        at, moves = starts.copy(), np.zeros(len(starts), np.int64)
+        for t in range(int(steps.max()) + 1):
+            within = at < stops
+            word = symbols[np.where(within, at, len(h))]
+            for k, i in np.argwhere(steps == t).tolist():
+                hashes[k] += word * factors[k, i]
+                inside[k] = within  # of the last step sampled
+            move = ((word >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
+            at += move
+            moves |= move << t
+        for k, keys in enumerate(hashes):
+            keys[~(inside[k] & (on[k][moves] >= distinct))] = 0
+            yield keys
+
+
+def _trials(n: int, edits: int, gap: int, draw: np.random.Generator) -> tuple[list, list]:
+    """Items of ``n`` words, and texts that hold each with so many edits."""
+    new = lambda k: draw.integers(1, 1 << 63, k).tolist()
+    items, texts = [], []
+    for trial in range(TRIALS):
+        words = new(n)
+        items.append(list(words))
+        if trial % 2:
+            for at, word in zip(draw.choice(n, edits, replace=False).tolist(), new(edits), strict=True):
+                words[at] = word
+        else:
+            for word, kind in zip(new(edits), draw.integers(0, 3, edits).tolist(), strict=True):
+                at = int(draw.integers(max(1, len(words))))
+                words[at : at + (kind != 1)] = [] if kind == 2 else [word]
+        texts.append(new(int(draw.integers(gap))) + words)
+    return items, texts
+
+
+@lru_cache(maxsize=None)
+def walks_needed(w: int, percent: int, min_words: int, recall: float = RECALL) -> tuple[int, int]:
+    """Walks, and words that a sample has to be on, to reach the recall by windows of ``w``.
+
+    Of items with ``n * (100 - percent) // 100`` edits, for the shortest that ``w`` is for, as
+    longer ones have more windows; several, as the share of edits varies by the rounding. The
+    texts end with the item, which gives the fewest windows.
+    """
+    low = max(1, w + w // 2 - 1, min_words)
+    lengths = range(low, max(low, min(3 * w - 2, low + (9 if w <= 16 else 2))) + 1)
+    draw = np.random.default_rng([w, percent, min_words])
+    tables = []
+    for n in lengths:
+        sides = []
+        for rows, gap in zip(_trials(n, n * (100 - percent) // 100, stride(w), draw), (1, stride(w)), strict=True):
+            ends = np.cumsum([len(r) for r in rows])
+            counts = -(-np.diff(ends, prepend=0) // gap)
+            trial = np.repeat(np.arange(len(rows)), counts)
+            first = np.concatenate(([0], ends[:-1]))
+            starts = first[trial] + ranges(np.zeros(len(rows), np.int64), counts) * gap
+            sides.append((np.array([x for r in rows for x in r], np.uint64), starts, ends[trial], trial))
+        tables.append(sides)
+    for distinct in range(DISTINCT, 0, -1):
+        found = np.zeros((len(lengths), TRIALS), bool)
+        hashes = [
+            [embedded_hashes(h, starts, w, ends, MOST_WALKS, distinct) for h, starts, ends, _ in sides]
+            for sides in tables
+        ]
+        for walk in range(1, MOST_WALKS + 1):
+            for k, (sides, pair) in enumerate(zip(tables, hashes, strict=True)):
+                for _ in range(SAMPLES):
+                    keys = [next(one) for one in pair]
+                    tagged = [
+                        np.where(x > 0, mixed(x ^ mixed(trial.astype(np.uint64) + np.uint64(1))), np.uint64(0))
+                        for x, (_, _, _, trial) in zip(keys, sides, strict=True)
+                    ]
+                    hit = (tagged[0] > 0) & np.isin(tagged[0], tagged[1])
+                    found[k, sides[0][3][hit]] = True
+            if found.mean(axis=1).min() >= recall:
+                return walk, distinct
+    raise ValueError(f"no number of walks finds items with {100 - percent} % of their words edited")
 
 
 @dataclass
@@ -106,43 +202,49 @@ class Items:
     ids: list
     words: np.ndarray  # hashes of all items' words
     first: np.ndarray
-    tables: dict  # window size -> for each walk and sample, sorted hashes and their windows
+    tables: dict  # window size -> walks, words a sample has to be on, and for each walk and
+    # sample, sorted hashes and their windows
 
     @classmethod
-    def of(cls, ids: list, texts: list[str], min_words: int) -> Items:
+    def of(cls, ids: list, texts: list[str], min_words: int, percent: int = PERCENT) -> Items:
         words = PlainWords(pa.array(texts, pa.large_string()))
         h, tables = words.hashes(), {}
         size = np.array([window_size(n) if n >= min_words else 0 for n in words.counts.tolist()])
         for w in sorted(set(size.tolist()) - {0}):
             chosen = np.flatnonzero(size == w)
-            counts = words.counts[chosen] - w + 1
-            item = np.repeat(chosen, counts)
+            counts = words.counts[chosen]
+            item = np.repeat(chosen, counts).astype(np.int32)
             starts = ranges(words.first[chosen], counts)
+            shift = (starts - words.first[item]).astype(np.int32)
+            walks, distinct = walks_needed(w, percent, min_words)
             rows = []
-            for keys in embedded_hashes(h, starts, w):
+            for keys in embedded_hashes(h, starts, w, words.first[item + 1], walks, distinct):
                 order = np.argsort(keys)
+                order = order[np.searchsorted(keys[order], 1) :]  # 0 is no hash
                 some = np.zeros(1 << 16, bool)  # the hashes' first bits, to rule most others out
-                some[keys >> np.uint64(48)] = True
-                rows.append((keys[order], item[order], (starts - words.first[item])[order], some))
-            tables[w] = rows
+                some[keys[order] >> np.uint64(48)] = True
+                rows.append((keys[order], item[order], shift[order], some))
+            tables[w] = walks, distinct, rows
         return cls(ids, h, words.first, tables)
 
 
 def _candidates(items: Items, words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text, item, and the word of the text at which the item would begin."""
     found: list[tuple[np.ndarray, ...]] = []
-    for w, rows in items.tables.items():
-        step = max(1, w // 2)
-        counts = np.maximum(0, (words.counts - w) // step + 1) * (words.counts >= w)
+    for w, (walks, distinct, rows) in items.tables.items():
+        step = stride(w)
+        counts = -(-words.counts // step)
         text = np.repeat(np.arange(len(counts)), counts)
         starts = words.first[text] + ranges(np.zeros(len(counts), np.int64), counts) * step
-        for keys, (known, item, shift, some) in zip(embedded_hashes(h, starts, w), rows, strict=True):
+        stops = words.first[text + 1]
+        hashes = embedded_hashes(h, starts, w, stops, walks, distinct)
+        for keys, (known, item, shift, some) in zip(hashes, rows, strict=True):
             hit = np.flatnonzero(some[keys >> np.uint64(48)])
             low = np.searchsorted(known, keys[hit])
             many = np.searchsorted(known, keys[hit], side="right") - low
             at = ranges(low, many)
             begin = np.repeat(starts[hit] - words.first[text[hit]], many) - shift[at]
-            found.append((np.repeat(text[hit], many), item[at], begin))
+            found.append((np.repeat(text[hit], many), item[at].astype(np.int64), begin))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -231,7 +333,9 @@ def _verify(items, words, h, k, text, low, wide, most, out) -> None:
     out["end"].append(np.minimum(words.counts[text[near]], low[near] + stop[near]))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, min_words: int):
+def _blocks(
+    benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, min_words: int, percent: int
+):
     """The items, in blocks that the driver and each task can hold."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         "id is not null and text is not null"
@@ -241,7 +345,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int,
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
         if rows:
-            yield Items.of([r.id for r in rows], [r.text for r in rows], min_words)
+            yield Items.of([r.id for r in rows], [r.text for r in rows], min_words, percent)
 
 
 def leaks(
@@ -294,7 +398,7 @@ def leaks(
         return found
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words):
+    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words, percent):
         out = out.unionByName(narrow.mapInArrow(run(items), schema))
     return out
 
@@ -325,6 +429,6 @@ def without_leaks(
 
         return clean
 
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words):
+    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words, percent):
         docs = docs.mapInArrow(run(items), docs.schema)
     return docs

@@ -105,6 +105,23 @@ def test_recall_of_edited_items(share):
     assert len(hits) == found  # and nothing else
 
 
+@pytest.mark.parametrize("n", [8, 10, 11, 24, 47, 59])
+@pytest.mark.parametrize("share", [0.25, 0.3])
+def test_recall_at_the_bound(n, share):
+    draw = random.Random(n + int(share * 100))
+    rows = [filler(draw, n) for _ in range(300)]
+    items = Items.of(list(range(len(rows))), rows, 8)
+    texts = []
+    for row in rows:
+        words = row.split()
+        for at in draw.sample(range(n), int(share * n)):
+            words[at] = f"x{draw.random()}".replace(".", "y")
+        texts.append(f"{filler(draw, draw.randint(0, 90))} {' '.join(words)} {filler(draw, draw.randint(0, 60))}")
+    got = leaks_of(items, pa.array(texts), 70)
+    hits = set(zip(got["text"].tolist(), got["item"].tolist(), strict=True))
+    assert sum((k, k) in hits for k in range(len(rows))) >= 0.98 * len(rows)
+
+
 def test_what_is_found_is_right():
     draw, items = random.Random(3), Items.of(*map(list, zip(*ITEMS, strict=True)), 8)
     texts = [
