@@ -92,10 +92,13 @@ def members(stream) -> Iterator[bytes]:
         raise ValueError("the last record is cut short")
 
 
+# Quoted values have any length, in linear time: a tag ends at a < outside its quotes, and a
+# quote changes what two tags read from different states into different states again, so at
+# most three tags that begin at different places read the same part of a page.
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
     r"""|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-z][^\s/<>]*)((?:"[^"]{0,4096}"|'[^']{0,4096}'|[^'"<>])*+)>"""
+    r"""|<(/?)([a-z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+)>"""
     r"""|<[a-z/!?][^<>]*>""",
     re.S | re.I,
 )

@@ -59,6 +59,19 @@ def test_broken_pages_end(page):
     page_text(page)
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_attributes_of_any_length(quote):
+    value = f"{quote}{'x<p>y ' * 2000}{quote}"
+    page = f"one<div data-x={value}>two</div><a data-x={value} href={quote}/y{quote}>three</a><a href={value}>"
+    assert page_text(page) == ("one\ntwo\nthree", "", ["/y", "x<p>y " * 2000])
+
+
+@pytest.mark.parametrize("unit", ["<a '\"", "<a \"'\"' x=", "<a x='", "<a \"", "<a '\"'\"'\" ", "<" + "a" * 50 + " '"])
+def test_quotes_that_do_not_end_take_linear_time(unit):
+    page_text(unit * (2_000_000 // len(unit)))
+    page_text("<a x='" + "<a \"" * 100_000)
+
+
 def test_a_record_is_what_any_reader_of_gzip_finds():
     data = gzip.decompress(record([("WARC-Type", "metadata"), ("X", "ü")], b"block"))
     head, block = data.split(b"\r\n\r\n")[:2]
