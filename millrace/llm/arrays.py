@@ -86,13 +86,16 @@ class Words:
     text's first word, and one more for the end; ``text``: the text of each word.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, cut: np.ndarray | None = None):
+        """``cut``: for each byte and one more, whether words end and begin there as well."""
         self.data, self.offsets = utf8(column)
         if lower:
             self.data = LOWER[self.data]
         word, n = IS_WORD[self.data], len(self.data)
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
+        if cut is not None:
+            edge |= cut
         before = np.concatenate(([False], word))[:n]
         self.starts = np.flatnonzero(word & (edge[:n] | ~before))
         after = np.concatenate((word[1:], [False]))[:n]

@@ -47,11 +47,32 @@ _PLAIN[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
 _PLAIN[0x80:] = range(0x80, 0x100)
 
 
+#: Characters of scripts without spaces, each a word; and signs among them, which part words.
+ALONE = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x2E80, 0x2FDF),
+    (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+SIGNS = (
+    (0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0xFE10, 0xFE1F), (0xFE30, 0xFE4F),
+    (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65),
+)
+
+
+def _within(points: np.ndarray, bounds: tuple) -> np.ndarray:
+    out = np.zeros(len(points), bool)
+    for low, high in bounds:
+        out |= (points >= low) & (points <= high)
+    return out
+
+
 class PlainWords(Words):
     """Words of letters and digits: A-Z and À-Þ lowered.
 
-    Other characters of ASCII, the signs of Latin-1 (U+0080 to U+00BF) and general
-    punctuation (U+2000 to U+207F) part words; all others count as letters.
+    Other characters of ASCII, the signs of Latin-1 (U+0080 to U+00BF), general punctuation
+    (U+2000 to U+207F) and that of Chinese and Japanese part words; each character of a
+    script without spaces is a word; all others count as letters.
     """
 
     def __init__(self, column: pa.Array):
@@ -66,10 +87,22 @@ class PlainWords(Words):
         low = np.flatnonzero(plain[:-1] == 0xC3) + 1
         low = low[(plain[low] >= 0x80) & (plain[low] <= 0x9E) & (plain[low] != 0x97)]
         plain[low] += 0x20
+        cut, at = None, np.flatnonzero(data >= 0xE0)
+        if len(at):
+            size = 3 + (data[at] >= 0xF0)
+            tail = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+            points = ((data[at].astype(np.int64) & 0xF) << 12) | (tail[0] << 6) | tail[1]
+            points = np.where(size == 4, ((points & 0x7FFF) << 6) | tail[2], points)
+            sign, alone = _within(points, SIGNS), _within(points, ALONE)
+            for k in range(3):
+                plain[at[sign] + k] = 0x20
+            cut = np.zeros(len(data) + 1, bool)
+            cut[at[alone]] = cut[at[alone] + size[alone]] = True
         super().__init__(
             pa.LargeStringArray.from_buffers(
                 len(column), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(plain)
-            )
+            ),
+            cut=cut,
         )
 
 
@@ -204,6 +237,8 @@ class Items:
     first: np.ndarray
     tables: dict  # window size -> walks, words a sample has to be on, and for each walk and
     # sample, sorted hashes and their windows
+    short: dict  # words of an item looked for verbatim -> sorted hashes and their items
+    min_words: int
 
     @classmethod
     def of(cls, ids: list, texts: list[str], min_words: int, percent: int = PERCENT) -> Items:
@@ -225,7 +260,13 @@ class Items:
                 some[keys[order] >> np.uint64(48)] = True
                 rows.append((keys[order], item[order], shift[order], some))
             tables[w] = walks, distinct, rows
-        return cls(ids, h, words.first, tables)
+        short = {}
+        for n in sorted(set(words.counts.tolist()) & set(range(1, min_words))):
+            chosen = np.flatnonzero(words.counts == n)
+            keys = span_hashes(h, words.first[chosen], words.first[chosen] + n)
+            order = np.argsort(keys)
+            short[n] = keys[order], chosen[order]
+        return cls(ids, h, words.first, tables, short, min_words)
 
 
 def _candidates(items: Items, words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -245,6 +286,18 @@ def _candidates(items: Items, words: Words, h: np.ndarray) -> tuple[np.ndarray,
             at = ranges(low, many)
             begin = np.repeat(starts[hit] - words.first[text[hit]], many) - shift[at]
             found.append((np.repeat(text[hit], many), item[at].astype(np.int64), begin))
+    for n, (known, item) in items.short.items():
+        counts = np.maximum(0, words.counts - n + 1)
+        text = np.repeat(np.arange(len(counts)), counts)
+        begin = ranges(np.zeros(len(counts), np.int64), counts)
+        keys = span_hashes(h, words.first[text] + begin, words.first[text] + begin + n)
+        low = np.searchsorted(known, keys)
+        many = np.searchsorted(known, keys, side="right") - low
+        rows = np.repeat(np.arange(len(keys)), many)
+        own = item[ranges(low, many)]
+        # The first place of each item in a text will do.
+        _, first = np.unique(text[rows] * len(items.ids) + own, return_index=True)
+        found.append((text[rows[first]], own[first], begin[rows[first]]))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -274,7 +327,7 @@ def leaks_of(items: Items, column: pa.Array, percent: int) -> dict[str, np.ndarr
     h = words.hashes()
     text, item, begin = _candidates(items, words, h)
     length = np.diff(items.first)
-    most = length * (100 - percent) // 100
+    most = np.where(length < items.min_words, 0, length * (100 - percent) // 100)
     out: dict[str, list] = {k: [] for k in ("text", "item", "edits", "start", "end")}
     if len(text):
         slack = np.maximum(1, most)
@@ -338,7 +391,7 @@ def _blocks(
 ):
     """The items, in blocks that the driver and each task can hold."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
-        "id is not null and text is not null"
+        "text is not null"
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
@@ -363,8 +416,9 @@ def leaks(
 
     A row holds an item of n words if it has adjacent words from which at most
     ``(100 - percent) * n / 100`` insertions, deletions or substitutions of words lead to
-    the item; the best place is given. Words are runs of letters and digits, without case.
-    Items of fewer than ``min_words`` words say too little and are not looked for.
+    the item; the best place is given. Words are runs of letters and digits, without case,
+    and single characters in scripts without spaces. Items of fewer than ``min_words`` words
+    say too little for edits and are looked for verbatim.
 
     Null or empty texts hold nothing, null items or items with a null id are not looked
     for. Repeated rows and items are each reported. Rows are read whole, nothing is
@@ -398,6 +452,7 @@ def leaks(
         return found
 
     out = docs.sparkSession.createDataFrame([], schema)
+    benchmark = benchmark.where(F.col(item_id_col).isNotNull())
     for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words, percent):
         out = out.unionByName(narrow.mapInArrow(run(items), schema))
     return out
@@ -417,7 +472,10 @@ def without_leaks(
     min_words: int = MIN_WORDS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item in the sense of ``leaks``, all columns as they are."""
+    """The rows of ``docs`` that hold no item in the sense of ``leaks``, all columns as they are.
+
+    Items with a null id are looked for as well.
+    """
 
     def run(items: Items):
         def clean(batches) -> Iterator[pa.RecordBatch]:

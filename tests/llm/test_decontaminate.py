@@ -155,6 +155,25 @@ def test_case_and_punctuation_do_not_hide_an_item(spark):
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [3]
 
 
+def test_short_items_scripts_without_spaces_and_null_ids(spark):
+    chinese, thai = "北京是中国的首都，人口超过两千万。", "กรุงเทพเป็นเมืองหลวงของประเทศไทย"
+    bench = spark.createDataFrame(
+        [(1, "four short words here"), (2, chinese), (3, thai), (None, ITEMS[5][1])], "item_id bigint, text string"
+    )
+    texts = [
+        (1, "well, Four short -- words here; Four short words here"), (2, "four short words there"),
+        (3, f"据说{chinese.replace('首都', '都城')}真的"), (4, f"x{thai}x"), (5, ITEMS[5][1]),
+        (6, "北京很大。"), (7, None), (8, ""), (9, "𠀀𠀁"),
+    ]
+    docs = odd_docs(spark, texts)
+    got = sorted(collected(leaks(docs, bench)))
+    assert [r[:2] for r in got] == [(1, 1), (3, 2), (4, 3)]
+    assert got[0] == (1, 1, 4, 0, 1, 5) and got[1][2] == 15 and got[2][2] == len(thai)
+    assert sorted(r.doc_id for r in without_leaks(docs, bench).collect()) == [2, 6, 7, 8, 9]
+    words = PlainWords(pa.array(["a北京b、c", "京", ""]))
+    assert words.counts.tolist() == [5, 1, 0] and len(set(words.hashes().tolist())) == 5
+
+
 def test_a_large_benchmark_takes_several_passes(spark):
     draw = random.Random(5)
     rows = [(k, f"{filler(draw, 9)} {t} {filler(draw, 9)}") for k, t in ITEMS]
