@@ -21,10 +21,6 @@ IS_WORD[list(SEPARATORS)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with at most ``most`` bytes in ``column``, or one row each."""
     lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
@@ -46,16 +42,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[starts[0] : starts[-1]], starts - starts[0]
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        power = np.full((1 << bits) + 1, base, np.uint64)
-        power[0] = 1
-        out.append(np.cumprod(power, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     """Each 64-bit value spread over all bits (one to one)."""
     x = values.astype(np.uint64)
@@ -67,16 +53,43 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=2)
+def _coefficients(bits: int) -> np.ndarray:
+    return mixed(np.arange(1, (1 << bits) + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span ``symbols[start:end]``, of its content and length alone."""
-    n = len(symbols)
-    if not n:
-        return mixed(np.zeros(len(starts), np.uint64))
-    power, inverse = _powers(max(16, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    value = (total[ends] - total[starts]) * inverse[starts]
-    return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span ``symbols[start:end]``, of its content and length alone.
+
+    Spans don't overlap. Each place in a span has a coefficient of its own that follows from
+    no other, so unlike in a polynomial no pattern of symbols cancels out at every base.
+    """
+    sizes = ends - starts
+    most = int(sizes.max()) if len(sizes) else 0
+    stop = np.cumsum(sizes)
+    place = ranges(np.zeros(len(sizes), np.int64), sizes)
+    value = symbols[place + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
+    value *= _coefficients(max(12, most.bit_length()))[place]
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mixed(total[stop] - total[stop - sizes] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` values in a row, by doubling; they may overlap."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, power, width = None, 0, words, 1
+    while True:
+        if size & width:
+            here = power[done : done + n]
+            out = here if out is None else mixed(out * np.uint64(0xD6E8FEB86659FD93) + here)
+            done += width
+        if 2 * width > size:
+            return mixed(out + np.uint64(size))
+        power = mixed(power[:-width] * np.uint64(0xA0761D6478BD642F) + power[width:])
+        width *= 2
 
 
 class Words:

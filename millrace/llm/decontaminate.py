@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import Words, mixed, ranges, slices, span_hashes, utf8
+from millrace.llm.arrays import Words, mixed, ranges, sequence_hashes, slices, utf8
 
 WALKS = 4
 SAMPLES = 8  # hashes of each walk
@@ -263,7 +263,7 @@ class Items:
         short = {}
         for n in sorted(set(words.counts.tolist()) & set(range(1, min_words))):
             chosen = np.flatnonzero(words.counts == n)
-            keys = span_hashes(h, words.first[chosen], words.first[chosen] + n)
+            keys = sequence_hashes(h, n)[words.first[chosen]]
             order = np.argsort(keys)
             short[n] = keys[order], chosen[order]
         return cls(ids, h, words.first, tables, short, min_words)
@@ -290,7 +290,7 @@ def _candidates(items: Items, words: Words, h: np.ndarray) -> tuple[np.ndarray,
         counts = np.maximum(0, words.counts - n + 1)
         text = np.repeat(np.arange(len(counts)), counts)
         begin = ranges(np.zeros(len(counts), np.int64), counts)
-        keys = span_hashes(h, words.first[text] + begin, words.first[text] + begin + n)
+        keys = sequence_hashes(h, n)[words.first[text] + begin]
         low = np.searchsorted(known, keys)
         many = np.searchsorted(known, keys, side="right") - low
         rows = np.repeat(np.arange(len(keys)), many)

@@ -2,7 +2,8 @@
 
 A piece's ids depend on the piece alone, so they may be kept from one batch to the next.
 The cache holds a bounded number of pieces and starts over beyond it; results do not
-depend on what it holds. Pieces are told apart by a 64-bit hash of content and length.
+depend on what it holds. Pieces are looked up by a 64-bit hash and then compared, so two
+pieces of one hash are told apart.
 """
 
 from __future__ import annotations
@@ -18,6 +19,20 @@ from millrace.llm.pretokens import Pretokens
 MOST_PIECES = 1 << 20
 
 
+class _Grown:
+    """Values one after the other, in an array that doubles."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        stop = self.size + len(values)
+        if stop > len(self.room):
+            self.room = np.resize(self.room, max(stop, 2 * len(self.room)))
+        self.room[self.size : stop] = values
+        self.size = stop
+
+
 class PieceCache:
     """``encode(pieces)`` gives the ids of each piece of a list: flat ids, and counts.
 
@@ -34,12 +49,12 @@ class PieceCache:
 
     def _forget(self):
         self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.points = _Grown(np.int32), _Grown(np.uint32)
 
-    def _rows(self, keys: np.ndarray, make: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        """The row of each of the distinct ``keys``; ``make`` gives the pieces of new ones."""
+    def _rows(self, keys: np.ndarray, pieces: Pretokens, example: np.ndarray) -> np.ndarray:
+        """The row of each of the distinct ``keys``; ``example``: a piece of each."""
         if len(self.keys) > MOST_PIECES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -47,17 +62,33 @@ class PieceCache:
             self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else at == at
         )
         if len(new):
-            ids, counts = self.encode(make(new))
-            starts = len(self.ids) + np.cumsum(counts) - counts
+            ids, counts = self.encode([pieces.piece(k) for k in example[new].tolist()])
+            sizes = pieces.ends[example[new]] - pieces.starts[example[new]]
             together = np.concatenate((self.keys, keys[new]))
             order = np.argsort(together, kind="stable")
             self.keys = together[order]
-            self.starts = np.concatenate((self.starts, starts))[order]
+            for name, own, grown in (("starts", counts, self.ids), ("begins", sizes, self.points)):
+                first = grown.size + np.cumsum(own) - own
+                setattr(self, name, np.concatenate((getattr(self, name), first))[order])
             self.counts = np.concatenate((self.counts, counts))[order]
-            self.ids = np.concatenate((self.ids, ids))
+            self.sizes = np.concatenate((self.sizes, sizes))[order]
+            self.ids.add(ids)
+            self.points.add(pieces.points[ranges(pieces.starts[example[new]], sizes)])
             at = np.searchsorted(self.keys, keys)
         return at
 
+    def _others(self, pieces: Pretokens, rows: np.ndarray) -> np.ndarray:
+        """The pieces that are not what the cache has in their row."""
+        sizes = pieces.ends - pieces.starts
+        other = self.sizes[rows] != sizes
+        alike = np.flatnonzero(~other)
+        size = sizes[alike]
+        known = self.points.room[ranges(self.begins[rows[alike]], size)]
+        wrong = np.concatenate(([0], np.cumsum(known != pieces.points[ranges(pieces.starts[alike], size)])))
+        stop = np.cumsum(size)
+        other[alike] = wrong[stop] > wrong[stop - size]
+        return np.flatnonzero(other)
+
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts``, one after the other, and the number of each text's."""
         if not any(s in t for t in texts for s in self.special):
@@ -88,8 +119,14 @@ class PieceCache:
         code, keys = pd.factorize(pieces.hashes())
         example = np.zeros(len(keys), np.int64)
         example[code[::-1]] = np.arange(len(code))[::-1]
-        rows = self._rows(keys, lambda new: [pieces.piece(k) for k in example[new].tolist()])[code]
-        counts = self.counts[rows]
-        ids = self.ids[ranges(self.starts[rows], counts)]
+        rows = self._rows(keys, pieces, example)[code]
+        starts, counts, ids = self.starts[rows], self.counts[rows], self.ids.room
+        others = self._others(pieces, rows)
+        if len(others):
+            own, n = self.encode([pieces.piece(k) for k in others.tolist()])
+            starts[others] = self.ids.size + np.cumsum(n) - n
+            counts[others] = n
+            ids = np.concatenate((ids[: self.ids.size], own.astype(np.int32)))
+        ids = ids[ranges(starts, counts)]
         total = np.concatenate(([0], np.cumsum(counts)))
         return ids, total[pieces.first[1:]] - total[pieces.first[:-1]]
