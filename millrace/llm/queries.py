@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import bpe_digests
 from millrace.llm.chat import PERSPECTIVES_SQL, perspectives
 from millrace.llm.decontaminate import leaks
+from millrace.llm.fill_in_middle import FILL_IN_MIDDLE_SQL, fill_in_middle, with_restored
+from millrace.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from millrace.llm.language import held_out, identify, train
 from millrace.llm.minhash import NEAR_DUPLICATES_SQL, near_duplicates
 from millrace.llm.pii import find_personal_data
 from millrace.llm.quality import QUALITY_SQL, quality_rules
+from millrace.llm.substring_dedup import SUBSTRING_DEDUP_SQL, without_repeats
 from millrace.llm.token_counts import document_token_counts
 from millrace.llm.token_records import read_records, write_records
 from millrace.llm.warc import derive, write_responses
@@ -82,6 +85,33 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
+    told = without_repeats(read_table(spark, sf_dir, "documents"), digest=True)
+    return told.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, sizes and digests of every document, rearranged and restored."""
+    made = with_restored(fill_in_middle(read_table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every anchor's positives, from all vectors."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -93,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_records": op8_token_records,
     "op9_quality": op9_quality,
     "op10_personal_data": op10_personal_data,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: The others' results are beyond SQL; tests/llm holds them against brute force.
@@ -100,4 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash": NEAR_DUPLICATES_SQL,
     "op5_chat": PERSPECTIVES_SQL,
     "op9_quality": QUALITY_SQL,
+    "op11_substring_dedup": SUBSTRING_DEDUP_SQL,
+    "op12_fill_in_middle": FILL_IN_MIDDLE_SQL,
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
