@@ -44,7 +44,7 @@ _MINED = [c.split()[0] for c in MINED.split(", ")]
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
     """Rows of vectors of one ``size``, of whole numbers in doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(flat * SCALE).reshape(-1, size)
+    return np.floor(flat * SCALE).reshape(len(column), size)
 
 
 def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

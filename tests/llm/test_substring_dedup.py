@@ -1,0 +1,127 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import ROWS, collected, empty_docs, odd_docs
+
+from millrace.llm import hot_keys
+from millrace.llm.substring_dedup import _least_places, levels, without_repeats
+
+
+def brute_force(rows, size=35):
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    windows = Counter(tuple(w[k : k + size]) for w in texts for k in range(len(w) - size + 1))
+    out = []
+    for (doc, _), w in zip(rows, texts, strict=True):
+        twice = [k for k in range(len(w) - size + 1) if windows[tuple(w[k : k + size])] > 1]
+        gone = {k + d for k in twice for d in range(size)}
+        runs = [(k, min(x for x in range(k, len(w) + 1) if x not in gone)) for k in sorted(gone) if k - 1 not in gone]
+        out.append((doc, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone), runs))
+    return sorted(out, key=str)
+
+
+def found(docs, **options):
+    rows = without_repeats(docs, **options).collect()
+    return sorted(((*r[:4], [tuple(x) for x in r.removed]) for r in rows), key=str)
+
+
+def planted(seed, size, n=60):
+    """Texts of few words with passages from others, around the length of a window."""
+    draw = random.Random(seed)
+    word = lambda: draw.choice("abcdefghij") + draw.choice(["", "é", "b"]) * draw.randint(0, 2)
+    passages = [[word() for _ in range(draw.randint(max(1, size - 2), 2 * size + 2))] for _ in range(6)]
+    rows = []
+    for k in range(n):
+        words = []
+        for _ in range(draw.randint(0, 4)):
+            kind = draw.random()
+            if kind < 0.4:
+                words += draw.choice(passages)
+            elif kind < 0.5:
+                cut = draw.choice(passages)
+                words += cut[draw.randint(0, 3) : len(cut) - draw.randint(0, 3)]
+            else:
+                words += [word() for _ in range(draw.randint(0, size))]
+        rows.append((k, "".join(w + draw.choice([" ", "\n", "  ", "\t"]) for w in words)))
+    return rows + [(n + k, t) for k, (_, t) in enumerate(rows[:5])]
+
+
+def test_levels_double():
+    assert levels(35) == [9, 18, 35] and levels(1) == [1] and levels(2) == [1, 2] and levels(4) == [1, 2, 4]
+    for size in range(1, 200):
+        told = levels(size)
+        assert told[-1] == size and all(a < b <= 2 * a for a, b in zip(told, told[1:]))
+
+
+def test_places_of_the_smallest():
+    draw = np.random.default_rng(0)
+    for width in range(1, 20):
+        values = draw.integers(0, 6, 50)
+        expected = [k + int(values[k : k + width].argmin()) for k in range(50 - width + 1)]
+        assert _least_places(values, width).tolist() == expected
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13])
+def test_against_brute_force(spark, size):
+    rows = planted(size, size)
+    expected = brute_force(rows, size)
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), size=size) == expected
+    assert 0 < sum(r[2] > 0 for r in expected)
+
+
+def test_windows_of_35_words(spark):
+    rows = planted(9, 35, 40)
+    expected = brute_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(docs) == expected and any(0 < r[2] < r[1] for r in expected)
+    digests = {(r.doc_id, r.kept) for r in without_repeats(docs, digest=True).collect()}
+    assert digests == {(r[0], hashlib.sha256(r[3].encode()).hexdigest()) for r in expected}
+
+
+def test_exactly_one_window(spark):
+    shared = [f"s{k}" for k in range(35)]
+    own = lambda k, n: [f"d{k}w{x}" for x in range(n)]
+    rows = [
+        (1, " ".join(own(1, 5) + shared + own(1, 3))),
+        (2, " ".join(own(2, 1) + shared)),
+        (3, " ".join(own(3, 5) + shared[1:] + own(33, 5))),  # a word short
+        (4, " ".join(own(4, 3) + shared[:17] + ["other"] + shared[18:])),
+        (5, " ".join(["one"] * 36)),  # two windows, one on the other
+        (6, " ".join(["two"] * 35)),
+        (7, "S0 " + " ".join(shared[1:])),  # letters' case counts
+    ]
+    got = found(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got == brute_force(rows)
+    assert {r[0]: r[2] for r in got} == {1: 35, 2: 35, 3: 0, 4: 0, 5: 36, 6: 0, 7: 0}
+
+
+def test_rows_of_all_kinds(spark):
+    assert found(odd_docs(spark)) == brute_force(ROWS)
+    assert found(odd_docs(spark), size=3) == brute_force(ROWS, 3)
+    assert found(empty_docs(spark)) == []
+    assert found(odd_docs(spark, [(1, None), (2, "a b")])) == brute_force([(1, None), (2, "a b")])
+
+
+def test_a_third_of_the_rows_hold_one_passage(spark, monkeypatch):
+    """Hot windows and a hot text are dealt to several tasks."""
+    monkeypatch.setattr(hot_keys, "SHARE", 16)
+    shared = " ".join(f"s{k}" for k in range(12))
+    rows = [(k, f"x{k} {shared} y{k}" if k % 3 else "the same text " * 4) for k in range(900)]
+    rows += [(1000 + k, f"lone text number {k} " * (k % 2 + 1)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    assert found(docs, size=8) == brute_force(rows, 8)
+
+
+def test_thue_morse_words(spark):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y z"), (2, f"{other} x y z")]
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4) == brute_force(rows, 4)
+
+
+def test_no_size_below_one(spark):
+    with pytest.raises(ValueError, match="at least one word"):
+        without_repeats(empty_docs(spark), size=0)
