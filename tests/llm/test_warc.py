@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 import json
+import zlib
+from html.parser import HTMLParser
 
 import pytest
 from cases import collected
@@ -136,3 +138,115 @@ def test_rows_of_all_kinds(spark):
         assert sources[r.response_id].endswith(page.encode())
     assert by_id[3].url == by_id[5].url == "about:blank"
     assert collected(derive(write_responses(pages(spark, [])))) == []
+
+
+class Twin(HTMLParser):
+    """Text, title and links of a page, by the parser of Python's library."""
+
+    LINES = set(
+        "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure "
+        "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre "
+        "section table tbody td tfoot th thead title tr ul".split()
+    )
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.title, self.in_title, self.hidden = [], [], None, None, None
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            return
+        if tag in ("script", "style", "noscript", "template"):
+            self.hidden = tag
+        if tag in self.LINES:
+            self.parts.append("\n")
+        if tag == "title":
+            self.in_title = ""
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            self.hidden = None if tag == self.hidden else self.hidden
+            return
+        if tag in self.LINES:
+            self.parts.append("\n")
+        if tag == "title" and self.title is None:
+            self.title = self.in_title
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+            if self.in_title is not None and self.title is None:
+                self.in_title += data
+
+    def told(self):
+        lines = (" ".join(x.split()) for x in "".join(self.parts).split("\n"))
+        return "\n".join(filter(None, lines)), " ".join((self.title or "").split()), self.links
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_pages_read_as_the_library_reads_them(spark, scale):
+    rows = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet").select("html").collect()
+    assert len(rows) >= 250
+    for r in rows:
+        assert page_text(r.html) == Twin(r.html).told()
+
+
+def http(headers, body, **warc):
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n").encode() + body
+    told = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Date": "2024-01-01T00:00:00Z"} | warc
+    return derived([(k.replace("_", "-"), v) for k, v in told.items()], block)
+
+
+def text_of(headers, body, **warc):
+    row, _, conversion = http(headers, body, **warc)
+    content = parsed(gzip.decompress(conversion))[1]
+    assert row["n_chars"] == len(content.decode()) and row["text_digest"] == sha(content)
+    return content.decode()
+
+
+def test_responses_of_others():
+    page = "<p>Café</p>"
+    html = ("Content-Type", 'text/html; charset="iso-8859-1"')
+    assert text_of([html], page.encode("latin-1")) == "Café"
+    assert text_of([("content-type", "text/html;Charset=UTF-8")], page.encode()) == "Café"
+    assert text_of([("Content-Type", "text/html; charset=no-such")], page.encode()) == "Café"
+    assert text_of([("Content-Type", "text/html; charset=base64")], page.encode()) == "Café"
+    for encoding, body in (
+        ("gzip", gzip.compress(page.encode())),
+        ("GZIP", page.encode()),  # decoded before it was archived
+        ("deflate", zlib.compress(page.encode())),
+        ("deflate", zlib.compress(page.encode())[2:-4]),
+        ("identity", page.encode()),
+        ("deflate, gzip", gzip.compress(zlib.compress(page.encode()))),
+    ):
+        assert text_of([("Content-Encoding", encoding)], body) == "Café", encoding
+    assert text_of([("Content-Encoding", "br")], b"\x8b\x05\x80") == ""
+    raw = page.encode()
+    chunks = b"4\r\n" + raw[:4] + b"\r\n%X;x=1\r\n" % (len(raw) - 4) + raw[4:] + b"\r\n0\r\n\r\n"
+    chunked = ("Transfer-Encoding", "chunked")
+    assert text_of([chunked], chunks) == "Café"
+    assert text_of([chunked], raw) == "Café"  # joined before it was archived
+    assert text_of([chunked], chunks, WARC_Payload_Digest=sha(raw)) == "Café"
+    assert text_of([chunked], chunks, WARC_Payload_Digest=sha(chunks)) == "Café"
+    packed = gzip.compress(raw)
+    assert text_of([chunked, ("Content-Encoding", "gzip")], b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n") == "Café"
+    with pytest.raises(ValueError, match="payload"):
+        http([html], raw, WARC_Payload_Digest=sha(b"other"))
+    assert text_of([], raw, WARC_Payload_Digest="sha256:" + hashlib.sha256(raw).hexdigest()) == "Café"
+    assert text_of([("Content-Type", "image/png")], b"\x89PNG") == ""
+    assert text_of([("Content-Type", "text/plain")], b"a <b> c") == "a <b> c"
+    row, meta, _ = http([], raw)
+    assert row["url"] is None and "WARC-Target-URI" not in dict(parsed(gzip.decompress(meta))[0])
+    told = [("WARC-Record-ID", "<urn:y>"), ("Content-Type", "text/dns")]
+    row, *_ = derived(told, b"20240101\r\n\r\nx")
+    assert (row["n_chars"], row["payload_digest"]) == (13, sha(b"20240101\r\n\r\nx"))
+
+
+def test_any_level_of_gzip(spark):
+    for level in (1, 9):
+        rows = derive(write_responses(pages(spark, ROWS), level=level), level=level).collect()
+        assert len(rows) == len(ROWS)
