@@ -209,7 +209,7 @@ def _recurring(rows: DataFrame, keys: list[str], name: str) -> DataFrame | None:
     counts = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), name)
     if counts.isEmpty():
         return None
-    spans = hot_join(rows, counts, keys, "uid", "left_semi")
+    spans = hot_join(rows, counts.select(*keys), counts, keys, "uid", "left_semi")
     return spans.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
@@ -282,8 +282,9 @@ def without_repeats(
                 "uid bigint, n_removed bigint, kept string, removed array<struct<start:int,end:int>>",
             )
     plain = described.select("uid", "doc_id", "k1", "k2", "n_words", "kept")
-    twice = classes.where("n > 1").select("k1", "k2", "n", F.lit(True).alias("twice"))
-    told = hot_join(plain, written(twice, "twice"), ["k1", "k2"], "uid", "left")
+    several = classes.where("n > 1")
+    twice = several.select("k1", "k2", F.lit(True).alias("twice"))
+    told = hot_join(plain, twice, several, ["k1", "k2"], "uid", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     if changed is None:
         changed = plain.where("false").select(
