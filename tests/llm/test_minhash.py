@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from cases import ROWS, collected, empty_docs, odd_docs
 
+from millrace.llm import minhash
 from millrace.llm.arrays import Words
 from millrace.llm.components import components
 from millrace.llm.minhash import near_duplicates, rows_per_band, shingles, signatures, without_near_duplicates
@@ -153,3 +154,65 @@ def test_components_of_any_graph(spark, seed):
 
 def test_no_edges_no_components(spark):
     assert collected(components(spark.createDataFrame([], "a bigint, b bigint"))) == []
+
+
+def templates(n, seed=0, own=40, shared=40):
+    """Texts with half of their words in common; none is near another but the copies."""
+    draw = random.Random(seed)
+    common = [f"t{k}" for k in range(shared)]
+    rows = [(k, " ".join(common + [f"{k}w{draw.randrange(10**6)}" for _ in range(own)])) for k in range(n)]
+    for k in range(0, n, 10):
+        words = rows[k][1].split()
+        words[-1] = "changed"
+        rows.append((n + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pages_of_one_template_are_not_tied(spark, block):
+    rows = templates(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(docs, bucket_block=block) == brute_force(rows)
+    assert sum(not r[3] for r in brute_force(rows)) == 30
+
+
+def test_groups_hold_only_what_signatures_tie(spark, monkeypatch):
+    """Texts are compared in groups of two, though hundreds share each bucket."""
+    sizes = []
+    before = minhash.components
+
+    def seen(edges):
+        out = before(edges)
+        sizes.extend(r["count"] for r in out.groupBy("component").count().collect())
+        return out
+
+    monkeypatch.setattr(minhash, "components", seen)
+    rows = templates(1500)
+    found(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(sizes) >= 150 and max(sizes) <= 4
+    bands = np.array([0.33**5 * 25])
+    assert 1500 * bands[0] > 100  # by shared buckets alone they would all be one group
+
+
+def test_links_that_a_buckets_smallest_does_not_show(spark):
+    """Pairs are linked with each other, and not with the class that their bucket is named for."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(25):
+        base = [f"s{x}" for x in range(60)] + [f"o{k}x{draw.randrange(10**6)}" for _ in range(25)]
+        other = base[:-1] + [f"z{k}"]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute_force(rows)
+    assert found(docs, bucket_block=5) == found(docs) == expected
+    assert len({r[2] for r in expected}) == 25
+
+
+def test_a_row_on_most_of_the_table(spark, monkeypatch):
+    from millrace.llm import hot_keys
+
+    monkeypatch.setattr(hot_keys, "SHARE", 8)
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, base)] * 20_000 + [(7, base.replace("w59", "end")), (9, base.replace("w0", "begin"))]
+    got = found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6))
+    assert len(got) == 20_002 and {r[2] for r in got} == {5} and sum(not r[3] for r in got) == 2
