@@ -67,12 +67,16 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     sizes = ends - starts
     most = int(sizes.max()) if len(sizes) else 0
     stop = np.cumsum(sizes)
-    place = ranges(np.zeros(len(sizes), np.int64), sizes)
-    value = symbols[place + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
-    value *= _coefficients(max(12, most.bit_length()))[place]
-    total = np.zeros(len(value) + 1, np.uint64)
+    begin = stop - sizes
+    n = int(stop[-1]) if len(stop) else 0
+    at = np.arange(n)
+    # Spans that leave nothing out need no copy of what is in them.
+    inside = symbols if n == len(symbols) else symbols[at + np.repeat(starts - begin, sizes)]
+    value = inside.astype(np.uint64) + np.uint64(1)
+    value *= _coefficients(max(12, most.bit_length()))[at - np.repeat(begin, sizes)]
+    total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    return mixed(total[stop] - total[stop - sizes] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mixed(total[stop] - total[begin] + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
