@@ -3,8 +3,9 @@
 Words are the symbols. The CGK embedding of a window walks along it at random: at step t it
 gives the word under its pointer and goes on to the next if the word's t-th random bit says
 so. Two windows a few edits apart give embeddings a few positions (Hamming) apart, since
-their walks fall in step again after an edit. Bit sampling hashes an embedding to what it
-has at a few of its first steps; several walks and samples give edits many chances.
+their walks fall in step again after an edit. A walk has two steps a word, so on average it
+comes to the window's end, where it stays. Bit sampling hashes an embedding to what it has
+at a few steps drawn from all of them; several walks and samples give edits many chances.
 
 Windows are sized by the items: an item of n words is looked for by windows of w words,
 the largest power of two with w + w/2 - 1 <= n, taken from a text each w/4 words and from
@@ -30,14 +31,15 @@ from millrace.llm.arrays import Words, mixed, ranges, sequence_hashes, slices, u
 WALKS = 4
 SAMPLES = 8  # hashes of each walk
 STEPS = 4  # sampled for a hash
-SPAN = 12  # the first steps of a walk, of which they are
+STEPS_A_WORD = 2  # of a walk
 DISTINCT = 3  # words that the sampled steps have to be on
 RECALL = 0.995  # of items with as many edits as allowed
 TRIALS = 400  # for each length
 MOST_WALKS = 64
 PERCENT = 70
 MIN_WORDS = 8
-BLOCK_BYTES = 4 << 20
+MIN_VERBATIM_WORDS = 4
+BLOCK_BYTES = 1 << 20
 VERIFY_CELLS = 4 << 20
 
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -120,17 +122,10 @@ def stride(w: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def _sampled(w: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """The steps of each sample of a walk over windows of ``w`` words, a row a sample.
-
-    And for each sample and each set of steps that go on, how many words it is on.
-    """
-    draw = np.random.default_rng([w, walk])
-    steps = np.stack([np.sort(draw.choice(SPAN, STEPS, replace=False)) for _ in range(SAMPLES)])
-    moves = np.arange(1 << SPAN)
-    between = [[(1 << b) - (1 << a) for a, b in zip(row, row[1:])] for row in steps.tolist()]
-    words = np.array([1 + sum((moves & gap) > 0 for gap in row) for row in between], np.uint8)
-    return steps, words
+def _sampled(w: int, walk: int) -> np.ndarray:
+    """The steps of each sample of a walk over windows of ``w`` words, a row a sample."""
+    draw, steps = np.random.default_rng([w, walk]), max(STEPS, STEPS_A_WORD * w)
+    return np.stack([np.sort(draw.choice(steps, STEPS, replace=False)) for _ in range(SAMPLES)])
 
 
 def embedded_hashes(
@@ -143,32 +138,49 @@ def embedded_hashes(
 ) -> Iterator[np.ndarray]:
     """For each walk and sample, a hash of each window ``h[start:start + w]``, cut at its stop.
 
-    It is 0 where the steps sampled leave the window or are on fewer than ``distinct`` words.
+    It is 0 where the steps sampled are on fewer than ``distinct`` of the window's words.
     """
+    starts = starts.astype(np.int64)
     stops = starts + w if stops is None else np.minimum(starts + w, stops)
+    # A whole window can't end before step w; only those that are cut have to be watched.
+    cut = stops - starts < w
+    groups = [(np.flatnonzero(~cut), w), (np.flatnonzero(cut), 0)]
     for walk in range(walks):
-        symbols = np.append(mixed(h ^ mixed(np.array([walk + 1], np.uint64))), np.uint64(0))
-        steps, on = _sampled(w, walk)
-        factors = mixed(np.arange(1, steps.size + 1, dtype=np.uint64)).reshape(steps.shape) | np.uint64(1)
-        hashes = [np.zeros(len(starts), np.uint64) for _ in steps]
-        inside = [None] * len(steps)
-        at, moves = starts.copy(), np.zeros(len(starts), np.int64)
-        for t in range(int(steps.max()) + 1):
-            within = at < stops
-            word = symbols[np.where(within, at, len(h))]
-            for k, i in np.argwhere(steps == t).tolist():
-                hashes[k] += word * factors[k, i]
-                inside[k] = within  # of the last step sampled
-            move = ((word >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
-            at += move
-            moves |= move << t
-        for k, keys in enumerate(hashes):
-            keys[~(inside[k] & (on[k][moves] >= distinct))] = 0
-            yield keys
-
-
-def _trials(n: int, edits: int, gap: int, draw: np.random.Generator) -> tuple[list, list]:
-    """Items of ``n`` words, and texts that hold each with so many edits."""
+        symbols = np.append(mixed(h ^ mixed(np.array([walk + 1], np.uint64))), np.uint64(0)).view(np.int64)
+        out = np.zeros((SAMPLES, len(starts)), np.uint64)
+        for group, safe in groups:
+            if len(group):
+                out[:, group] = _walked(symbols, starts[group], stops[group], _sampled(w, walk), safe, distinct)
+        yield from out
+
+
+def _walked(symbols, starts, stops, steps, safe: int, distinct: int) -> list[np.ndarray]:
+    """Hashes of each sample of one walk over windows that don't end before step ``safe``."""
+    factors = (mixed(np.arange(1, steps.size + 1, dtype=np.uint64)) | np.uint64(1)).view(np.int64)
+    hashes = [np.zeros(len(starts), np.int64) for _ in steps]
+    seen = [np.ones(len(starts), np.int8) for _ in steps]  # places that its steps are on
+    last: list = [None] * len(steps)
+    at, end = starts, len(symbols) - 1
+    for t in range(int(steps.max()) + 1):
+        word = symbols[at] if t < safe else symbols[np.where(at < stops, at, end)]
+        for k, i in np.argwhere(steps == t).tolist():
+            hashes[k] += word * factors[k * steps.shape[1] + i]
+            if last[k] is not None:
+                seen[k] += last[k] != at
+            last[k] = at
+        # A walk has more steps than a word has bits: each 64 steps they are mixed anew.
+        bits = word if t < 64 else mixed(word.view(np.uint64) + np.uint64(t >> 6)).view(np.int64)
+        if t < safe:
+            at = at + ((bits >> (t & 63)) & 1)
+        else:
+            at = np.minimum(at + ((bits >> (t & 63)) & 1), stops)
+    for k, keys in enumerate(hashes):
+        keys[seen[k] - (last[k] >= stops) < distinct] = 0  # the end is no word
+    return [keys.view(np.uint64) for keys in hashes]
+
+
+def _trials(n: int, edits: int, w: int, draw: np.random.Generator) -> tuple[list, list]:
+    """Items of ``n`` words, and texts that hold each with so many edits and go on after it."""
     new = lambda k: draw.integers(1, 1 << 63, k).tolist()
     items, texts = [], []
     for trial in range(TRIALS):
@@ -181,7 +193,7 @@ def _trials(n: int, edits: int, gap: int, draw: np.random.Generator) -> tuple[li
             for word, kind in zip(new(edits), draw.integers(0, 3, edits).tolist(), strict=True):
                 at = int(draw.integers(max(1, len(words))))
                 words[at : at + (kind != 1)] = [] if kind == 2 else [word]
-        texts.append(new(int(draw.integers(gap))) + words)
+        texts.append(new(int(draw.integers(stride(w)))) + words + new(w))
     return items, texts
 
 
@@ -191,7 +203,7 @@ def walks_needed(w: int, percent: int, min_words: int, recall: float = RECALL) -
 
     Of items with ``n * (100 - percent) // 100`` edits, for the shortest that ``w`` is for, as
     longer ones have more windows; several, as the share of edits varies by the rounding. The
-    texts end with the item, which gives the fewest windows.
+    texts go on after the item: where one ends, cut windows of both may be alike, too.
     """
     low = max(1, w + w // 2 - 1, min_words)
     lengths = range(low, max(low, min(3 * w - 2, low + (9 if w <= 16 else 2))) + 1)
@@ -199,7 +211,7 @@ def walks_needed(w: int, percent: int, min_words: int, recall: float = RECALL) -
     tables = []
     for n in lengths:
         sides = []
-        for rows, gap in zip(_trials(n, n * (100 - percent) // 100, stride(w), draw), (1, stride(w)), strict=True):
+        for rows, gap in zip(_trials(n, n * (100 - percent) // 100, w, draw), (1, stride(w)), strict=True):
             ends = np.cumsum([len(r) for r in rows])
             counts = -(-np.diff(ends, prepend=0) // gap)
             trial = np.repeat(np.arange(len(rows)), counts)
@@ -241,7 +253,14 @@ class Items:
     min_words: int
 
     @classmethod
-    def of(cls, ids: list, texts: list[str], min_words: int, percent: int = PERCENT) -> Items:
+    def of(
+        cls,
+        ids: list,
+        texts: list[str],
+        min_words: int,
+        percent: int = PERCENT,
+        min_verbatim_words: int = MIN_VERBATIM_WORDS,
+    ) -> Items:
         words = PlainWords(pa.array(texts, pa.large_string()))
         h, tables = words.hashes(), {}
         size = np.array([window_size(n) if n >= min_words else 0 for n in words.counts.tolist()])
@@ -261,7 +280,7 @@ class Items:
                 rows.append((keys[order], item[order], shift[order], some))
             tables[w] = walks, distinct, rows
         short = {}
-        for n in sorted(set(words.counts.tolist()) & set(range(1, min_words))):
+        for n in sorted(set(words.counts.tolist()) & set(range(max(1, min_verbatim_words), min_words))):
             chosen = np.flatnonzero(words.counts == n)
             keys = sequence_hashes(h, n)[words.first[chosen]]
             order = np.argsort(keys)
@@ -387,9 +406,15 @@ def _verify(items, words, h, k, text, low, wide, most, out) -> None:
 
 
 def _blocks(
-    benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, min_words: int, percent: int
+    benchmark: DataFrame,
+    id_col: str,
+    text_col: str,
+    block_bytes: int,
+    min_words: int,
+    percent: int,
+    min_verbatim_words: int,
 ):
-    """The items, in blocks that the driver and each task can hold."""
+    """The items, broadcast in blocks that the driver and each worker can hold."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         "text is not null"
     )
@@ -398,7 +423,10 @@ def _blocks(
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
         if rows:
-            yield Items.of([r.id for r in rows], [r.text for r in rows], min_words, percent)
+            made = Items.of(
+                [r.id for r in rows], [r.text for r in rows], min_words, percent, min_verbatim_words
+            )
+            yield benchmark.sparkSession.sparkContext.broadcast(made)
 
 
 def leaks(
@@ -410,6 +438,7 @@ def leaks(
     item_text_col: str = "text",
     percent: int = PERCENT,
     min_words: int = MIN_WORDS,
+    min_verbatim_words: int = MIN_VERBATIM_WORDS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``doc_id, item_id, n_words, edits, start_word, end_word``: items that rows hold.
@@ -418,12 +447,15 @@ def leaks(
     ``(100 - percent) * n / 100`` insertions, deletions or substitutions of words lead to
     the item; the best place is given. Words are runs of letters and digits, without case,
     and single characters in scripts without spaces. Items of fewer than ``min_words`` words
-    say too little for edits and are looked for verbatim.
+    say too little for edits and are looked for verbatim; those of fewer than
+    ``min_verbatim_words``, as "Yes", are in too many texts to say anything, and are not
+    looked for.
 
     Null or empty texts hold nothing, null items or items with a null id are not looked
     for. Repeated rows and items are each reported. Rows are read whole, nothing is
-    shuffled. A pass over ``docs`` looks for at most ``block_bytes`` of items, so a larger
-    benchmark takes several passes, not a larger broadcast.
+    shuffled. A pass over ``docs`` looks for about ``block_bytes`` of items, so a larger
+    benchmark takes several passes, not a larger broadcast. The table that is broadcast has
+    16 bytes for each word, walk and sample: 60 to 150 times the items' text.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     doc_kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -433,8 +465,9 @@ def leaks(
         "start_word bigint, end_word bigint"
     )
 
-    def run(items: Items):
+    def run(shared):
         def found(batches) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for batch in batches:
                 for part in slices(batch, "text"):
                     got = leaks_of(items, part["text"], percent)
@@ -453,7 +486,9 @@ def leaks(
 
     out = docs.sparkSession.createDataFrame([], schema)
     benchmark = benchmark.where(F.col(item_id_col).isNotNull())
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words, percent):
+    for items in _blocks(
+        benchmark, item_id_col, item_text_col, block_bytes, min_words, percent, min_verbatim_words
+    ):
         out = out.unionByName(narrow.mapInArrow(run(items), schema))
     return out
 
@@ -470,15 +505,18 @@ def without_leaks(
     item_text_col: str = "text",
     percent: int = PERCENT,
     min_words: int = MIN_WORDS,
+    min_verbatim_words: int = MIN_VERBATIM_WORDS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` that hold no item in the sense of ``leaks``, all columns as they are.
 
-    Items with a null id are looked for as well.
+    Items with a null id are looked for as well. Null and empty texts stay, and so do all
+    copies of a repeated row that stays. No rows give none.
     """
 
-    def run(items: Items):
+    def run(shared):
         def clean(batches) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for batch in batches:
                 for part in slices(batch, text_col):
                     keep = np.ones(part.num_rows, bool)
@@ -487,6 +525,8 @@ def without_leaks(
 
         return clean
 
-    for items in _blocks(benchmark, item_id_col, item_text_col, block_bytes, min_words, percent):
+    for items in _blocks(
+        benchmark, item_id_col, item_text_col, block_bytes, min_words, percent, min_verbatim_words
+    ):
         docs = docs.mapInArrow(run(items), docs.schema)
     return docs

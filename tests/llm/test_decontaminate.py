@@ -9,6 +9,7 @@ from millrace.llm.decontaminate import (
     Items,
     PlainWords,
     _distances,
+    _sampled,
     embedded_hashes,
     leaks,
     leaks_of,
@@ -191,3 +192,68 @@ def test_rows_of_all_kinds_and_no_items(spark):
     assert collected(leaks(odd_docs(spark), none)) == []
     assert without_leaks(odd_docs(spark), none).count() == odd_docs(spark).count()
     assert collected(leaks(empty_docs(spark), bench)) == []
+
+
+def test_steps_are_drawn_from_the_whole_walk():
+    for w in (8, 16, 32, 64, 128):
+        steps = np.concatenate([_sampled(w, k).ravel() for k in range(20)])
+        assert steps.max() >= 2 * w - 4 and abs(steps.mean() - w) < w / 5
+    # A word changed anywhere in a window changes some of its hashes.
+    h = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = [x[0] for x in embedded_hashes(h, np.array([0]), 64, walks=30)]
+    for at in range(0, 64, 5):
+        other = h.copy()
+        other[at] ^= np.uint64(1)
+        assert own != [x[0] for x in embedded_hashes(other, np.array([0]), 64, walks=30)]
+
+
+@pytest.mark.parametrize("n", [8, 23, 60, 130, 250, 500])
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted"])
+def test_recall_at_the_bound_for_any_length_and_edit(n, kind):
+    """With fresh words, and with words that recur as in prose."""
+    draw = random.Random(n)
+    rows = [" ".join(draw.choices(POOL[:400], k=n)) for _ in range(150)]
+    items = Items.of(list(range(len(rows))), rows, 8)
+    texts = []
+    for row in rows:
+        words, edits = row.split(), n * 3 // 10
+        for at in sorted(draw.sample(range(n), edits), reverse=True):
+            words[at : at + (kind != "inserted")] = [] if kind == "deleted" else [draw.choice(POOL)]
+        texts.append(f"{filler(draw, draw.randint(0, 90))} {' '.join(words)} {filler(draw, draw.randint(0, 60))}")
+    got = leaks_of(items, pa.array(texts), 70)
+    hits = set(zip(got["text"].tolist(), got["item"].tolist(), strict=True))
+    assert sum((k, k) in hits for k in range(len(rows))) >= 0.98 * len(rows)
+
+
+def test_the_whole_result_against_all_pairs(spark):
+    """Every text with every item, by exact edit distance."""
+    draw = random.Random(8)
+    items = [(k, " ".join(draw.choices(POOL, k=draw.choice([4, 6, 8, 12, 20, 35])))) for k in range(25)]
+    texts = []
+    for k in range(120):
+        parts = [filler(draw, draw.randint(0, 25))]
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            item = draw.choice(items)[1]
+            parts += [edited(item, draw.randint(0, len(item.split()) // 2), draw), filler(draw, draw.randint(0, 9))]
+        texts.append((k, " ".join(parts)))
+    expected = set()
+    for t, text in texts:
+        for k, item in items:
+            words = item.split()
+            edits = edit_distance(words, text.split())
+            if edits <= (len(words) * 3 // 10 if len(words) >= 8 else 0):
+                expected.add((t, k, len(words), edits))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(r)[:4] for r in leaks(docs, bench).collect()}
+    assert got <= expected and len(got) >= 0.98 * len(expected) and len(expected) > 60
+    left = {r.doc_id for r in without_leaks(docs, bench).collect()}
+    assert left == {t for t, _ in texts} - {r[0] for r in got}
+
+
+def test_items_of_a_word_or_two_are_left_alone(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "no way"), (3, "the four word item")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "yes no way"), (2, "a the four word item"), (3, None)], "doc_id bigint, text string")
+    assert sorted(r[:2] for r in collected(leaks(docs, bench))) == [(2, 3)]
+    assert sorted(r[:2] for r in collected(leaks(docs, bench, min_verbatim_words=1))) == [(1, 1), (1, 2), (2, 3)]
+    assert sorted(r.doc_id for r in without_leaks(docs, bench).collect()) == [1, 3]
