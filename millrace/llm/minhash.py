@@ -511,17 +511,34 @@ def _pieces(docs, classes, groups, size, percent, block_classes, block_shingles)
 def without_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are.
+    """One row of ``docs`` of each group that ``near_duplicates`` finds, all columns as they are.
 
-    Rows are told apart by id and text; those with a null id are all kept.
+    The row with the smallest id stays, of several the one with the smallest hash of its
+    text, of repeated ones any. Rows of a null id take part and come last, so one of them
+    stays only if its group has no other. Null, empty and blank texts are in no group and all
+    stay. No rows give none.
     """
-    told = near_duplicates(docs, id_col, text_col, **options)
-    gone = told.where("not kept").select("doc_id", "text_hash").distinct()
-    return docs.join(
-        gone,
-        (docs[id_col] == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"]),
-        "left_anti",
+    id_, text = F.col(id_col), F.col(text_col)
+    # As a struct an id is never null, and rows of one id with other texts are others.
+    name = F.struct(id_.isNull().alias("missing"), id_.alias("id"), F.xxhash64(text).alias("h"))
+    named = docs.select(name.alias("doc_id"), text.alias("text"))
+    told = written(near_duplicates(named, **options).select("doc_id", "kept", "n_shingles"), "told")
+    key = F.struct("missing", "id", "h").alias("row")
+    gone = told.where("not kept").select("doc_id.*").distinct().select(key)
+    left = docs.join(gone, name == gone["row"], "left_anti")
+    repeated = written(
+        told.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+        .select("doc_id.*").select(key),
+        "repeated",
     )
+    if repeated.isEmpty():
+        return left
+    # Those are found again by their content; one of each is the first of its copies in a task.
+    others = left.join(repeated, name == repeated["row"], "left_anti")
+    copies = left.join(repeated, name == repeated["row"], "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = copies.select(name.alias("row"), whole.alias("whole")).groupBy("row").agg(F.first("whole").alias("whole"))
+    return others.unionByName(one.select("whole.*"))
 
 
 NEAR_DUPLICATES_SQL = r"""
