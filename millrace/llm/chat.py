@@ -5,8 +5,9 @@ assistant and the others as named users. A rendering is kept as its segments, a
 message: joined in order of ``seq`` they are the whole text, and ``start`` and ``end`` place
 them in it. So a dialogue of any length is many rows and never one.
 
-Places are running sums. They are taken within blocks of turns, then over the blocks'
-totals: the messages of a long dialogue are dealt out by block.
+Places are running sums. They are taken within blocks, then over the blocks' totals. Blocks
+are ranges of turns, cut where a range of the sorted table ends: so also messages without an
+id or turn, or many of one turn, are dealt out to several tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.shared import written
+
 SYSTEM = "system"
 BLOCK_TURNS = 64
 
@@ -44,26 +47,32 @@ def perspectives(
     characters of the rendered dialogue, the end exclusive; ``seq`` counts from 0.
 
     Messages are in order of turn, speaker, text, nulls first, so ties and repeated rows have
-    an order; each is rendered. ``<|`` in a text or name is written ``< |``. A null text is
+    an order; each is rendered. The sorted messages are written to the shared folder. ``<|`` in a text or name is written ``< |``. A null text is
     empty, null conversation ids are one dialogue. A dialogue without participants, and an
     empty table, give no rows. Turns are whole numbers.
     """
-    block = F.floor(F.col("turn") / block_turns).cast("bigint")
+    turns = F.coalesce(F.floor(F.col("turn") / block_turns).cast("bigint"), F.lit(-(2**62)))
     # As a struct an id is never null, so null ones meet in joins as in groups.
     messages = conversations.select(
         F.struct(F.col(conv_col).alias("conv_id")).alias("conv"),
         F.col(turn_col).cast("bigint").alias("turn"),
         F.col(speaker_col).alias("speaker"),
         F.col(text_col).alias("raw"),
-    ).withColumn("block", F.coalesce(block, F.lit(-(2**62))))
-    speakers = (
+    ).withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "speaker", "raw")]
+    # Written, as the bounds of ranges are drawn anew by each run.
+    messages = written(
+        messages.repartitionByRange("conv", *order, "tie")
+        .withColumn("block", F.struct(turns.alias("turns"), F.spark_partition_id().alias("part")))
+        .drop("tie"),
+        "messages",
+    )
+    participants = (
         messages.where(F.col("speaker").isNotNull() & (F.col("speaker") != system))
-        .select("conv", "speaker")
+        .select("conv", F.col("speaker").alias("perspective"))
         .distinct()
-        .groupBy("conv")
-        .agg(F.collect_list("speaker").alias("participants"))
     )
-    per_block = messages.select("conv", "block").distinct().join(speakers, "conv")
+    per_block = messages.select("conv", "block").distinct().join(participants, "conv")
 
     text = _safe(F.coalesce("raw", F.lit("")))
     head = (
@@ -74,12 +83,10 @@ def perspectives(
     )
     rows = (
         messages.join(per_block, ["conv", "block"])
-        .select("conv", "block", "turn", "speaker", "raw", F.explode("participants").alias("perspective"))
         .withColumn("head", head)
         .withColumn("segment", F.concat("head", text, F.lit(_END + "\n")))
         .withColumn("size", F.length("segment").cast("bigint"))
     )
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "speaker", "raw")]
     inside = Window.partitionBy("conv", "block", "perspective").orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select(

@@ -89,3 +89,13 @@ def test_nothing_runs_in_python(spark, capsys):
     QUERIES["op5_chat"](spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_messages_without_ids_or_turns_are_dealt_out(spark, conf):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(None, None, ("ann", "bob")[k % 2], f"text {k % 40}") for k in range(600)]
+    rows += [(None, 5, "cy", "the same")] * 300 + [(1, 2, "ann", "alone")]
+    frame = perspectives(spark.createDataFrame(rows, SCHEMA).repartition(6))
+    assert sorted(collected(frame), key=str) == brute_force(rows)
+    blocks = spark.read.parquet(frame.inputFiles()[0].rsplit("/", 1)[0]).groupBy("conv", "block").count()
+    assert blocks.agg({"count": "max"}).first()[0] < 400 and blocks.count() >= 5
