@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.arrays import mixed, ranges, slices, sums
 from millrace.llm.decontaminate import PlainWords
@@ -30,7 +31,7 @@ LONGEST_GRAM = 4
 SEQUENCE = 64  # words; longer texts are several sequences
 TEXTS_PER_LANGUAGE = 150
 MOST_LANGUAGES = 200
-LONGEST_TEXT = 1 << 16  # bytes of a text to learn from
+LONGEST_TEXT = 1 << 16  # characters of a text to learn from
 ROUNDS = 25
 
 _LETTER = np.zeros(256, bool)
@@ -208,36 +209,50 @@ def train(
 ) -> Model:
     """A model from a sample of the labelled rows of ``docs`` that are not held out.
 
-    About ``texts_per_language`` texts of each of the ``most_languages`` most frequent
-    languages are drawn by a hash of the id, and no more than twice as many in all are
-    learned from; rows with texts of over ``longest_text`` bytes are not drawn. These bounds
-    make the sample fit on the driver. Rows with a null id, text or language are not drawn.
+    The ``texts_per_language`` texts of each language with the smallest hashes of id and
+    text are learned from, so the model is the same for the same rows however they are
+    dealt. Texts of over ``longest_text`` characters are taken only where a language has too
+    few others, and learned from so far. These bounds make the sample fit on the driver, as
+    ``most_languages``, those with the most rows, does for the model: 2 MB each. Rows with a
+    null id, text or language are not drawn.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where("doc_id is not null and text is not null and lang is not null")
-    rows = rows.where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= longest_text))
-    counts = (
-        rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    ).collect()
-    if not counts:
+    rows = rows.where(~held_out(F.col("doc_id"))).withColumns(
+        {"long": F.length("text") > longest_text, "h": F.xxhash64("doc_id", "text")}
+    )
+    counts = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.sum((~F.col("long")).cast("bigint")).alias("short")
+    )
+    known = counts.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not known:
         return Model([], np.zeros((1 << TABLE_BITS, 0)), np.zeros((0, 0)))
-    drawn = F.lit(False)
-    for r in counts:
-        share = min(1.0, texts_per_language / r.n)
-        drawn |= (F.col("lang") == r.lang) & (
-            F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
-        )
-    sample = rows.where(drawn).select("lang", "text")
-    got = sorted(sample.limit(2 * texts_per_language * len(counts)).collect())
+    # Of many rows only some have a hash so small: enough of them, all but certainly. Long
+    # texts are drawn from only if there are too few short ones for that.
+    least, want = -(1 << 63), 2 * texts_per_language + 64
+
+    def below(n: int) -> int:
+        return least + min((1 << 64) - 1, (1 << 64) * want // max(1, n))
+
+    bounds = docs.sparkSession.createDataFrame(
+        [(r.lang, below(r.short), below(r.n - r.short) if r.short < want else least) for r in known],
+        "lang string, of_short bigint, of_long bigint",
+    )
+    few = rows.join(F.broadcast(bounds), "lang").where(
+        F.col("h") <= F.when(F.col("long"), F.col("of_long")).otherwise(F.col("of_short"))
+    )
+    first = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text")
+    sample = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= texts_per_language)
+    got = sorted(sample.select("lang", F.substring("text", 1, longest_text).alias("text")).collect())
     return fit([r.text for r in got], [r.lang for r in got], rounds)
 
 
 def _has_letter(words: PlainWords, column: pa.Array) -> np.ndarray:
     """Whether each text has a letter, of any script."""
     plain = sums(_LETTER[words.data], words.offsets) > 0
-    for k in np.flatnonzero(~plain & (words.counts > 0)).tolist():
-        plain[k] = any(map(str.isalpha, column[k].as_py() or ""))
+    for k in np.flatnonzero(~plain & (np.diff(words.offsets) > 0)).tolist():
+        plain[k] = any(map(str.isalpha, column[k].as_py()))
     return plain
 
 
@@ -247,8 +262,9 @@ def identify(
     """``doc_id, lang_pred, score`` of each row: the language of its whole text.
 
     The score is the mean probability of the language over the text's words, 0 to 1; of
-    languages that tie the first in order is taken. A text that is null or has no letter,
-    and every text if the model knows no language, is ``und`` with score 0. Repeated rows
+    languages that tie the first in order is taken, so also for a text whose letters are
+    all signs (as ``µ``), with score 0. A text that is null or has no letter, and every text
+    if the model knows no language, is ``und`` with score 0. Repeated rows
     give repeated rows. Nothing is shuffled; only the text is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the fixed size of its table

@@ -112,3 +112,35 @@ def test_held_out_labels_and_other_columns_are_not_looked_at(spark):
     models = [train(d, rounds=3) for d in (docs, other.withColumn("source", F.lit("s")))]
     assert models[0].languages == models[1].languages
     assert (models[0].weights == models[1].weights).all()
+
+
+def labelled(spark, rows, parts):
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(parts)
+
+
+def test_the_model_does_not_follow_how_rows_are_dealt(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    one, other = (train(d, texts_per_language=20, rounds=2) for d in (docs.repartition(7), docs.orderBy(F.desc("doc_id"))))
+    assert one.languages == other.languages and (one.weights == other.weights).all()
+    assert (one.transitions == other.transitions).all()
+
+
+def test_no_language_is_lost(spark):
+    """One with long texts alone, one with a single row among many."""
+    rows = [(k, f"{ENGLISH} {k}", "en") for k in range(2000)]
+    rows += [(5000 + k, GERMAN * 200, "de") for k in range(40)]
+    rows += [(9000 + k, "zzz qqq xxx " * 9, "xx") for k in range(3)]
+    assert len(GERMAN * 200) > 1 << 13
+    model = train(labelled(spark, rows, 5), texts_per_language=10, longest_text=1 << 13, rounds=10)
+    assert model.languages == ["de", "en", "xx"]
+    got = identify(labelled(spark, [(1, GERMAN, None), (2, ENGLISH, None), (3, "zzz xxx qqq zzz", None)], 1), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "de", 2: "en", 3: "xx"}
+
+
+def test_a_letter_of_any_kind_has_a_language(spark):
+    letters = ["µ", "ª", "º", "ⁿ", "5 µ", "1ª", "Ж", "中"]
+    others = ["5", "½ €", "٣", "🙂", "—", "́"]
+    got = identify(odd_docs(spark, list(enumerate(letters + others))), small_model())
+    told = {r.doc_id: (r.lang_pred, r.score) for r in got.collect()}
+    assert all(told[k][0] in ("de", "en") for k in range(len(letters)))
+    assert all(told[k] == ("und", 0.0) for k in range(len(letters), len(told)))
