@@ -208,7 +208,12 @@ def passing(
     most_covered: float = MOST_COVERED,
     longest: int = LONGEST,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they are."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they are.
+
+    Null, empty and blank texts have too few words and go. Each copy of a repeated row is
+    judged as it is; ids play no part, so rows of a null id are judged like others. No rows
+    give none.
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
