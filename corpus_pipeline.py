@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Stages take nulls in any column, empty texts, repeated rows, columns of any further names and
+an empty table, and say below what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -16,28 +20,34 @@ from millrace.sources import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null, empty and blank texts go."""
     return passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Repeated rows and rows of a null id take part; null, empty and blank texts all stay.
+    """
     return without_near_duplicates(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null and empty texts hold none."""
     return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and terms that disclose it taken out."""
+    """All documents, with personal data and terms that disclose it taken out.
+
+    ``n_chars`` is that of the new text; a null or empty text stays as it is.
+    """
     clean = sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document that is left: ``doc_id, ids``."""
+    """The ids of each document that is left: ``doc_id, ids``; none for a null or empty text."""
     return bpe_encode(docs, BYTE_BPE)
 
 
