@@ -3,13 +3,11 @@
 Each permutation of the shingles' hashes gives two values of a set's signature, its minimum
 and its maximum, so half as many permutations are evaluated as the signature has values.
 Rows with equal sets are one class; what follows works on classes. Bands of signature values
-put classes into buckets. Signatures are compared there: each class of a bucket with its
-smallest, which takes one row each, and where that rules a link out, with the others of the
-bucket, in blocks. So what shares a bucket by chance, as pages of one template do, is not
-tied. What is tied together, directly or through others, is a candidate group, and holds
-each link that the bands can find. Groups are compared in blocks of bounded size inside
-tasks: signatures first, and where these don't rule a link out, the full sets. Only links
-that join what was not joined yet leave a task.
+put classes into buckets; a bucket ties its classes to the smallest of them, which takes one
+row each and no pairs. What is tied together, directly or through others, is a candidate
+group, and holds each link that the bands can find. Groups are compared in blocks of bounded
+size inside tasks: signatures first, and where these don't rule a link out, the full sets.
+Only links that join what was not joined yet leave a task.
 
 A group of several blocks is compared within each block, every one with the group's leader.
 What the blocks find meets in the leader alone, so each class's piece is known without
@@ -38,7 +36,6 @@ PERMUTATIONS = 63
 WORDS = 5
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 500_000
-BUCKET_BLOCK = 4096  # classes of a bucket whose signatures a task compares
 MOST_MISSED = 1e-6
 #: Standard deviations of a signature's estimate below the threshold, to rule a link out.
 DEVIATIONS = 5.0
@@ -186,99 +183,6 @@ def _least_agreement(percent: int) -> float:
     return share - DEVIATIONS * np.sqrt(share * (1 - share) / (2 * PERMUTATIONS))
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-
-
-def _starred(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Whether the signatures of each pair leave a link open."""
-    least = _least_agreement(percent)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own, first = (_sketches(batch[c]) for c in ("sketch", "first_sketch"))
-        n, m = (batch[c].to_numpy() for c in ("n_shingles", "first_n"))
-        near = (own == first).mean(axis=1) >= least
-        near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        yield pa.RecordBatch.from_arrays(
-            [batch["set_key"], batch["leader"], pa.array(near)], ["set_key", "leader", "near"]
-        )
-
-
-def _sketched(batches, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each block (``band, block``) that signatures tie, but for those tied already."""
-    least = _least_agreement(percent)
-    for table in whole_groups(batches, ["band", "block"], 4 << 20):
-        table = table.combine_chunks()
-        names = pd.MultiIndex.from_arrays([table["band"].to_pylist(), table["block"].to_pylist()])
-        bounds = np.flatnonzero(np.diff(pd.factorize(names)[0], prepend=-1, append=-1))
-        sketch, n = _sketches(table["sketch"].combine_chunks()), table["n_shingles"].to_numpy()
-        minor, keys = table["minor"].to_numpy(zero_copy_only=False), table["set_key"].to_pylist()
-        a, b = [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            joined = _Joined(hi - lo)
-            # Those that aren't minor are tied to the bucket's smallest already.
-            major = np.flatnonzero(~minor[lo:hi]).tolist()
-            for k in major[1:]:
-                joined.join(major[0], k)
-            for i in np.flatnonzero(minor[lo:hi]).tolist():
-                near = (sketch[lo:hi] == sketch[lo + i]).mean(axis=1) >= least
-                near &= 100 * np.minimum(n[lo:hi], n[lo + i]) >= percent * np.maximum(n[lo:hi], n[lo + i])
-                for j in np.flatnonzero(near).tolist():
-                    if joined.root(i) != joined.root(j):
-                        joined.join(i, j)
-                        a.append(keys[lo + i])
-                        b.append(keys[lo + j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _ties(classes: DataFrame, percent: int, bucket_block: int) -> DataFrame:
-    """``a, b``: classes that share a bucket and that signatures may link, enough of them
-    that what hangs together by all such pairs does so by these."""
-    banded = classes.select("set_key", F.explode("bands").alias("band"))
-    buckets = written(
-        banded.groupBy("band").agg(F.min("set_key").alias("leader"), F.count("*").alias("n")).where("n > 1"),
-        "buckets",
-    )
-    ties = written(
-        hot_join(banded, buckets.select("band", "leader"), buckets, ["band"], "set_key").where("set_key <> leader"),
-        "ties",
-    )
-    described = classes.select("set_key", "n_shingles", "sketch")
-    pairs = ties.select("set_key", "leader").distinct().join(described, "set_key")
-    on = written(ties.groupBy("leader").agg(F.count("*").alias("n")), "leaders")
-    first = described.select(
-        F.col("set_key").alias("leader"), F.col("n_shingles").alias("first_n"), F.col("sketch").alias("first_sketch")
-    ).join(on.select("leader"), "leader", "left_semi")
-    starred = written(
-        hot_join(pairs, first, on, ["leader"], "set_key").mapInArrow(
-            lambda b: _starred(b, percent), "set_key binary, leader binary, near boolean"
-        ),
-        "starred",
-    )
-    edges = starred.where("near").select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
-    tagged = ties.join(starred, ["set_key", "leader"]).select("band", "set_key", (~F.col("near")).alias("minor"))
-    sizes = tagged.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum(F.col("minor").cast("bigint")).alias("n_minor")
-    )
-    open_ = written(sizes.where("n_minor > 0 and n > 1"), "open-buckets")
-    if open_.isEmpty():
-        return edges
-    n_blocks, m_blocks = (F.ceil(F.col(c) / bucket_block).cast("int") for c in ("n", "n_minor"))
-    members = hot_join(
-        tagged,
-        open_.select("band", n_blocks.alias("n_blocks"), m_blocks.alias("m_blocks")),
-        open_,
-        ["band"],
-        "set_key",
-    ).join(described, "set_key")
-    dealt = members.withColumn("block", F.explode(_block_pairs()))
-    columns = ["band", "block", "set_key", "sketch", "n_shingles", "minor"]
-    dealt = dealt.select(*columns).repartition("band", "block").sortWithinPartitions("band", "block")
-    found = dealt.mapInArrow(lambda b: _sketched(b, percent), "a binary, b binary")
-    return edges.unionByName(found)
-
-
 def _spread(column: str, n: str):
     return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
 
@@ -378,7 +282,6 @@ def near_duplicates(
     percent: int = 85,
     block_classes: int = BLOCK_CLASSES,
     block_shingles: int = BLOCK_SHINGLES,
-    bucket_block: int = BUCKET_BLOCK,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash`` for each row of ``docs``.
 
@@ -413,7 +316,13 @@ def near_duplicates(
         ),
         "classes",
     )
-    groups = written(components(_ties(classes, percent, bucket_block)), "groups")
+    banded = classes.select("set_key", F.explode("bands").alias("band"))
+    buckets = written(
+        banded.groupBy("band").agg(F.min("set_key").alias("b"), F.count("*").alias("n")).where("n > 1"),
+        "buckets",
+    )
+    ties = hot_join(banded, buckets.select("band", "b"), buckets, ["band"], "set_key")
+    groups = written(components(ties.select(F.col("set_key").alias("a"), "b")), "groups")
 
     pieces = _pieces(narrow, classes, groups, size, percent, block_classes, block_shingles)
     pieced = classes.select("set_key", F.col("rep.doc_id").alias("rep")).join(

@@ -8,7 +8,6 @@ import pyarrow as pa
 import pytest
 from cases import ROWS, collected, empty_docs, odd_docs
 
-from millrace.llm import minhash
 from millrace.llm.arrays import Words
 from millrace.llm.components import components
 from millrace.llm.minhash import near_duplicates, rows_per_band, shingles, signatures, without_near_duplicates
@@ -184,32 +183,14 @@ def templates(n, seed=0, own=40, shared=40):
     return rows
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_pages_of_one_template_are_not_tied(spark, block):
+@pytest.mark.parametrize("block", [1024, 37])
+def test_pages_of_one_template_are_not_linked(spark, block):
     rows = templates(300)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert found(docs, bucket_block=block) == brute_force(rows)
+    assert found(docs, block_classes=block) == brute_force(rows)
     assert sum(not r[3] for r in brute_force(rows)) == 30
 
 
-def test_groups_hold_only_what_signatures_tie(spark, monkeypatch):
-    """Texts are compared in groups of two, though hundreds share each bucket."""
-    sizes = []
-    before = minhash.components
-
-    def seen(edges):
-        out = before(edges)
-        sizes.extend(r["count"] for r in out.groupBy("component").count().collect())
-        return out
-
-    monkeypatch.setattr(minhash, "components", seen)
-    rows = templates(1500)
-    found(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert len(sizes) >= 150 and max(sizes) <= 4
-    bands = np.array([0.33**5 * 25])
-    assert 1500 * bands[0] > 100  # by shared buckets alone they would all be one group
-
-
 def test_links_that_a_buckets_smallest_does_not_show(spark):
     """Pairs are linked with each other, and not with the class that their bucket is named for."""
     draw = random.Random(4)
@@ -220,7 +201,7 @@ def test_links_that_a_buckets_smallest_does_not_show(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = brute_force(rows)
-    assert found(docs, bucket_block=5) == found(docs) == expected
+    assert found(docs, block_classes=5) == found(docs) == expected
     assert len({r[2] for r in expected}) == 25
 
 

@@ -10,7 +10,7 @@ from test_pii import brute_force as personal
 from test_quality import brute_force as quality
 from tokenizers import Tokenizer
 
-from cases import CLASHES, ROWS, empty_docs, odd_docs
+from cases import CLASHES, LONG, ROWS, empty_docs, odd_docs
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -115,7 +115,7 @@ ITEM = " ".join(f"bench{k}" for k in range(12))
 ODD = [
     *ROWS,
     (20, GOOD), (20, GOOD), (None, GOOD), (21, GOOD.replace("word79", "x")),
-    (22, f"{GOOD[::-1]} {ITEM}"), (23, f"{GOOD.upper()[::-1]} me@x.org"), (None, f"{GOOD[5::2]} " * 6),
+    (22, f"{GOOD[::-1]} {ITEM}"), (23, f"{' '.join(GOOD.upper().split()[::-1])} me@x.org"), (None, f"{GOOD[5::2]} " * 6),
 ]
 
 
@@ -139,7 +139,7 @@ def test_stages_take_rows_of_all_kinds(spark, odd_dir, name):
     assert after.columns == (["doc_id", "ids"] if name == "bpe" else docs.columns)
     got = sorted((tuple(r)[:2] for r in after.collect()), key=str)
     if name == "quality":
-        assert got == sorted((r for r in ODD if quality(r[1])[-1]), key=str) and len(got) >= 5
+        assert got == sorted((r for r in ODD if r[1] != LONG and quality(r[1])[-1]), key=str) and len(got) >= 5
     elif name == "near_dedup":
         same = ROWS[0][1]
         gone = {GOOD, GOOD.replace("word79", "x"), same}
