@@ -34,7 +34,7 @@ from millrace.llm.shared import new_folder, written
 DATE = "2024-01-01T00:00:00Z"
 NO_TARGET = "about:blank"
 CHUNK = 1 << 16
-LEVEL = 3  # of gzip: on web pages about a tenth larger than 6, in half of its time
+LEVEL = 3  # of gzip: files of the pages of sf0.1 are 2 % larger than at 6, and sooner made
 
 Headers = list[tuple[str, str]]
 
