@@ -5,7 +5,9 @@ gives the word under its pointer and goes on to the next if the word's t-th rand
 so. Two windows a few edits apart give embeddings a few positions (Hamming) apart, since
 their walks fall in step again after an edit. A walk has two steps a word, so on average it
 comes to the window's end, where it stays. Bit sampling hashes an embedding to what it has
-at a few steps drawn from all of them; several walks and samples give edits many chances.
+at a few steps; several walks and samples give edits many chances. Insertions alone, or
+deletions alone, drive two walks apart, so each walk is sampled on a stretch of its own, of
+16 steps to all of them, that begins anywhere in the window.
 
 Windows are sized by the items: an item of n words is looked for by windows of w words,
 the largest power of two with w + w/2 - 1 <= n, taken from a text each w/4 words and from
@@ -32,15 +34,18 @@ WALKS = 4
 SAMPLES = 8  # hashes of each walk
 STEPS = 4  # sampled for a hash
 STEPS_A_WORD = 2  # of a walk
+FIRST_STEPS = 16  # of the shortest stretch that samples are drawn from
 DISTINCT = 3  # words that the sampled steps have to be on
 RECALL = 0.995  # of items with as many edits as allowed
 TRIALS = 400  # for each length
+KINDS = 4  # of trials
 MOST_WALKS = 64
 PERCENT = 70
 MIN_WORDS = 8
 MIN_VERBATIM_WORDS = 4
 BLOCK_BYTES = 1 << 20
 VERIFY_CELLS = 4 << 20
+WINDOWS_AT_ONCE = 1 << 13  # that walk together, so that a step's arrays stay in the cache
 
 _PLAIN = np.full(256, 0x20, np.uint8)
 _PLAIN[ord("0") : ord("9") + 1] = range(ord("0"), ord("9") + 1)
@@ -123,9 +128,19 @@ def stride(w: int) -> int:
 
 @lru_cache(maxsize=None)
 def _sampled(w: int, walk: int) -> np.ndarray:
-    """The steps of each sample of a walk over windows of ``w`` words, a row a sample."""
+    """The steps of each sample of a walk over windows of ``w`` words, a row a sample.
+
+    Insertions alone (or deletions alone) drive two walks apart the further they get. So a
+    walk's samples are from a stretch of its steps, of 16, 32 and so on to all, that begins
+    anywhere; there the walk sets out anew, from the word that it would be at on average.
+    """
     draw, steps = np.random.default_rng([w, walk]), max(STEPS, STEPS_A_WORD * w)
-    return np.stack([np.sort(draw.choice(steps, STEPS, replace=False)) for _ in range(SAMPLES)])
+    reach = [min(steps, FIRST_STEPS)]
+    while reach[-1] < steps:
+        reach.append(min(steps, 2 * reach[-1]))
+    own = reach[walk % len(reach)]
+    begin = int(draw.integers(0, steps - own + 1)) // STEPS_A_WORD * STEPS_A_WORD
+    return begin + np.stack([np.sort(draw.choice(own, STEPS, replace=False)) for _ in range(SAMPLES)])
 
 
 def embedded_hashes(
@@ -149,60 +164,77 @@ def embedded_hashes(
         symbols = np.append(mixed(h ^ mixed(np.array([walk + 1], np.uint64))), np.uint64(0)).view(np.int64)
         out = np.zeros((SAMPLES, len(starts)), np.uint64)
         for group, safe in groups:
-            if len(group):
-                out[:, group] = _walked(symbols, starts[group], stops[group], _sampled(w, walk), safe, distinct)
+            for low in range(0, len(group), WINDOWS_AT_ONCE):
+                some = group[low : low + WINDOWS_AT_ONCE]
+                out[:, some] = _walked(symbols, starts[some], stops[some], _sampled(w, walk), safe, distinct)
         yield from out
 
 
-def _walked(symbols, starts, stops, steps, safe: int, distinct: int) -> list[np.ndarray]:
-    """Hashes of each sample of one walk over windows that don't end before step ``safe``."""
-    factors = (mixed(np.arange(1, steps.size + 1, dtype=np.uint64)) | np.uint64(1)).view(np.int64)
-    hashes = [np.zeros(len(starts), np.int64) for _ in steps]
-    seen = [np.ones(len(starts), np.int8) for _ in steps]  # places that its steps are on
-    last: list = [None] * len(steps)
-    at, end = starts, len(symbols) - 1
-    for t in range(int(steps.max()) + 1):
-        word = symbols[at] if t < safe else symbols[np.where(at < stops, at, end)]
-        for k, i in np.argwhere(steps == t).tolist():
-            hashes[k] += word * factors[k * steps.shape[1] + i]
-            if last[k] is not None:
-                seen[k] += last[k] != at
-            last[k] = at
+def _walked(symbols, starts, stops, steps, safe: int, distinct: int) -> np.ndarray:
+    """Hashes of each sample of one walk over windows that don't end before step ``safe``.
+
+    A hash is a sum over the sampled steps; at the end, whose symbol is 0, it gains nothing.
+    """
+    skipped = int(steps.min()) // STEPS_A_WORD  # words before the walk's first sampled step
+    steps, starts, safe = steps - skipped * STEPS_A_WORD, starts + skipped, max(0, safe - skipped)
+    most = int(steps.max())
+    factors = (mixed(np.arange(1, most + 2, dtype=np.uint64)) | np.uint64(1)).view(np.int64)
+    asked = [np.flatnonzero((steps == t).any(axis=1)).tolist() for t in range(most + 1)]
+    hashes = np.zeros((len(steps), len(starts)), np.int64)
+    seen = np.zeros((len(steps), len(starts)), np.int8)  # words that its steps are on
+    last: list = [-1] * len(steps)
+    at, bits, value = starts.copy(), np.empty_like(starts), np.empty_like(starts)
+    for t in range(most + 1):
+        # Where a window has ended the walk goes on unwatched: it can't come back.
+        word = symbols.take(at, mode="clip")
+        if asked[t]:
+            np.multiply(word, factors[t], out=value)
+            if t >= safe:
+                value *= at < stops
+            for k in asked[t]:
+                hashes[k] += value
+            if distinct > 1:
+                for k in asked[t]:
+                    seen[k] += (last[k] != at) & (at < stops)
+                    last[k] = at.copy()
         # A walk has more steps than a word has bits: each 64 steps they are mixed anew.
-        bits = word if t < 64 else mixed(word.view(np.uint64) + np.uint64(t >> 6)).view(np.int64)
-        if t < safe:
-            at = at + ((bits >> (t & 63)) & 1)
-        else:
-            at = np.minimum(at + ((bits >> (t & 63)) & 1), stops)
-    for k, keys in enumerate(hashes):
-        keys[seen[k] - (last[k] >= stops) < distinct] = 0  # the end is no word
-    return [keys.view(np.uint64) for keys in hashes]
+        if t >= 64:
+            word = mixed(word.view(np.uint64) + np.uint64(t >> 6)).view(np.int64)
+        np.right_shift(word, t & 63, out=bits)
+        bits &= 1
+        at += bits
+    if distinct > 1:
+        hashes[seen < distinct] = 0
+    return hashes.view(np.uint64)
 
 
 def _trials(n: int, edits: int, w: int, draw: np.random.Generator) -> tuple[list, list]:
-    """Items of ``n`` words, and texts that hold each with so many edits and go on after it."""
+    """Items of ``n`` words, and texts that hold each with so many edits and go on after it.
+
+    The edits are, in turn, of all kinds, substitutions, insertions and deletions.
+    """
     new = lambda k: draw.integers(1, 1 << 63, k).tolist()
     items, texts = [], []
     for trial in range(TRIALS):
         words = new(n)
         items.append(list(words))
-        if trial % 2:
-            for at, word in zip(draw.choice(n, edits, replace=False).tolist(), new(edits), strict=True):
-                words[at] = word
-        else:
-            for word, kind in zip(new(edits), draw.integers(0, 3, edits).tolist(), strict=True):
-                at = int(draw.integers(max(1, len(words))))
-                words[at : at + (kind != 1)] = [] if kind == 2 else [word]
+        one = trial % KINDS
+        kinds = draw.integers(1, KINDS, edits) if one == 0 else np.full(edits, one)
+        # From the back, so that each place is one of the item's words.
+        places = np.sort(draw.choice(n, edits, replace=False))[::-1]
+        for at, word, kind in zip(places.tolist(), new(edits), kinds.tolist(), strict=True):
+            words[at : at + (kind != 2)] = [] if kind == 3 else [word]
         texts.append(new(int(draw.integers(stride(w)))) + words + new(w))
     return items, texts
 
 
 @lru_cache(maxsize=None)
 def walks_needed(w: int, percent: int, min_words: int, recall: float = RECALL) -> tuple[int, int]:
-    """Walks, and words that a sample has to be on, to reach the recall by windows of ``w``.
+    """Walks, and words of an item that a sample has to be on, to reach the recall by windows of ``w``.
 
     Of items with ``n * (100 - percent) // 100`` edits, for the shortest that ``w`` is for, as
-    longer ones have more windows; several, as the share of edits varies by the rounding. The
+    longer ones have more windows; several, as the share of edits varies by the rounding. It
+    is reached for each of these lengths and, over them all, for each kind of edit. The
     texts go on after the item: where one ends, cut windows of both may be alike, too.
     """
     low = max(1, w + w // 2 - 1, min_words)
@@ -222,7 +254,10 @@ def walks_needed(w: int, percent: int, min_words: int, recall: float = RECALL) -
     for distinct in range(DISTINCT, 0, -1):
         found = np.zeros((len(lengths), TRIALS), bool)
         hashes = [
-            [embedded_hashes(h, starts, w, ends, MOST_WALKS, distinct) for h, starts, ends, _ in sides]
+            [
+                embedded_hashes(h, starts, w, ends, MOST_WALKS, least)
+                for (h, starts, ends, _), least in zip(sides, (distinct, 1), strict=True)
+            ]
             for sides in tables
         ]
         for walk in range(1, MOST_WALKS + 1):
@@ -235,7 +270,8 @@ def walks_needed(w: int, percent: int, min_words: int, recall: float = RECALL) -
                     ]
                     hit = (tagged[0] > 0) & np.isin(tagged[0], tagged[1])
                     found[k, sides[0][3][hit]] = True
-            if found.mean(axis=1).min() >= recall:
+            of_kind = found.reshape(len(lengths), -1, KINDS).mean(axis=(0, 1))
+            if min(found.mean(axis=1).min(), of_kind.min()) >= recall:
                 return walk, distinct
     raise ValueError(f"no number of walks finds items with {100 - percent} % of their words edited")
 
@@ -247,8 +283,9 @@ class Items:
     ids: list
     words: np.ndarray  # hashes of all items' words
     first: np.ndarray
-    tables: dict  # window size -> walks, words a sample has to be on, and for each walk and
-    # sample, sorted hashes and their windows
+    tables: dict  # window size -> walks, and for each walk and sample, sorted hashes, the
+    # words at which their windows begin, and which first bits of a hash occur
+    item: np.ndarray  # of each word
     short: dict  # words of an item looked for verbatim -> sorted hashes and their items
     min_words: int
 
@@ -267,44 +304,52 @@ class Items:
         for w in sorted(set(size.tolist()) - {0}):
             chosen = np.flatnonzero(size == w)
             counts = words.counts[chosen]
-            item = np.repeat(chosen, counts).astype(np.int32)
+            item = np.repeat(chosen, counts)
             starts = ranges(words.first[chosen], counts)
-            shift = (starts - words.first[item]).astype(np.int32)
             walks, distinct = walks_needed(w, percent, min_words)
             rows = []
             for keys in embedded_hashes(h, starts, w, words.first[item + 1], walks, distinct):
                 order = np.argsort(keys)
                 order = order[np.searchsorted(keys[order], 1) :]  # 0 is no hash
-                some = np.zeros(1 << 16, bool)  # the hashes' first bits, to rule most others out
-                some[keys[order] >> np.uint64(48)] = True
-                rows.append((keys[order], item[order], shift[order], some))
-            tables[w] = walks, distinct, rows
+                known = keys[order]
+                # Eight to sixteen times as many places as hashes, to rule most others out.
+                first_bits = max(16, (16 * len(known)).bit_length() - 1)
+                some = np.zeros(1 << first_bits, bool)
+                some[known >> np.uint64(64 - first_bits)] = True
+                rows.append((known, starts[order].astype(np.uint32), some, np.uint64(64 - first_bits)))
+            tables[w] = walks, rows
         short = {}
         for n in sorted(set(words.counts.tolist()) & set(range(max(1, min_verbatim_words), min_words))):
             chosen = np.flatnonzero(words.counts == n)
             keys = sequence_hashes(h, n)[words.first[chosen]]
             order = np.argsort(keys)
             short[n] = keys[order], chosen[order]
-        return cls(ids, h, words.first, tables, short, min_words)
+        return cls(ids, h, words.first, tables, words.text.astype(np.int32), short, min_words)
 
 
 def _candidates(items: Items, words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text, item, and the word of the text at which the item would begin."""
     found: list[tuple[np.ndarray, ...]] = []
-    for w, (walks, distinct, rows) in items.tables.items():
+    for w, (walks, rows) in items.tables.items():
         step = stride(w)
         counts = -(-words.counts // step)
         text = np.repeat(np.arange(len(counts)), counts)
         starts = words.first[text] + ranges(np.zeros(len(counts), np.int64), counts) * step
         stops = words.first[text + 1]
-        hashes = embedded_hashes(h, starts, w, stops, walks, distinct)
-        for keys, (known, item, shift, some) in zip(hashes, rows, strict=True):
-            hit = np.flatnonzero(some[keys >> np.uint64(48)])
+        begins = starts - words.first[text]
+        hashes = embedded_hashes(h, starts, w, stops, walks)
+        for keys, (known, first, some, shift) in zip(hashes, rows, strict=True):
+            if not len(known):
+                continue
+            hit = np.flatnonzero(some[keys >> shift])
             low = np.searchsorted(known, keys[hit])
+            same = known[np.minimum(low, len(known) - 1)] == keys[hit]
+            hit, low = hit[same], low[same]
             many = np.searchsorted(known, keys[hit], side="right") - low
-            at = ranges(low, many)
-            begin = np.repeat(starts[hit] - words.first[text[hit]], many) - shift[at]
-            found.append((np.repeat(text[hit], many), item[at].astype(np.int64), begin))
+            window = first[ranges(low, many)].astype(np.int64)
+            item = items.item[window].astype(np.int64)
+            begin = np.repeat(begins[hit], many) - (window - items.first[item])
+            found.append((np.repeat(text[hit], many), item, begin))
     for n, (known, item) in items.short.items():
         counts = np.maximum(0, words.counts - n + 1)
         text = np.repeat(np.arange(len(counts)), counts)
@@ -455,7 +500,7 @@ def leaks(
     for. Repeated rows and items are each reported. Rows are read whole, nothing is
     shuffled. A pass over ``docs`` looks for about ``block_bytes`` of items, so a larger
     benchmark takes several passes, not a larger broadcast. The table that is broadcast has
-    16 bytes for each word, walk and sample: 60 to 150 times the items' text.
+    20 to 28 bytes for each word, walk and sample: 75 to 190 times the items' text.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     doc_kind = narrow.schema["doc_id"].dataType.simpleString()
