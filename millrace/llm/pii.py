@@ -5,7 +5,7 @@ corpus says which terms reveal it: of N documents, n(e) hold the entity e, n(t)
 and n(t, e) both. The information of e is IC = log2(N / n(e)); how much of it t gives away is
 PMI(t, e) / IC = 1 - log2(n(t) / n(t, e)) / IC, 1 where t is never without e. In all documents
 that hold e, a term above one threshold is generalised, one above a higher threshold removed.
-It takes some different texts with t near e to judge it.
+It takes some different texts that hold both to judge a pair, by default wherever in a text.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ PATTERNS = {
 #: What a text has to have for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-NEAR = 100
+NEAR = None
 SUPPORT = 2
 TERM_LETTERS = 4
 GENERALISE = 0.8
@@ -205,16 +205,9 @@ def _found(docs: DataFrame, text_col: str, carried: Column, keep_texts: bool, na
     )
 
 
-def near_terms(found: DataFrame, near: int | None, letters: int = TERM_LETTERS) -> DataFrame:
-    """``row_key, h, entity, term`` for each row, value and term near it in that row.
-
-    Without ``near``, all terms of a row are near all of its values.
-    """
+def near_terms(found: DataFrame, near: int, letters: int = TERM_LETTERS) -> DataFrame:
+    """``row_key, h, entity, term`` for each row, value and term near it in that row."""
     holders = found.where("h is not null")
-    if near is None:
-        entities = F.explode(F.array_distinct(F.transform("spans", _entity)))
-        each = holders.select("row_key", "h", "text", entities.alias("entity"))
-        return each.select("row_key", "h", "entity", F.explode(_words(F.col("text"), letters)).alias("term"))
     parts = holders.withColumn("cells", _cells(F.col("text")))
     around = _near(F.col("cells"), F.col("spans"), near, letters)
     each = parts.select("row_key", "h", F.explode(around).alias("x"))
@@ -234,14 +227,14 @@ def judged_terms(pairs: DataFrame, support: int) -> DataFrame:
 
 
 def _entities(found: DataFrame, letters: int) -> DataFrame:
-    """``row_key, entity, copies, n_words``: values of each row, and how often the row is there."""
+    """``row_key, entity, copies, n_words, h``: values of each row, and how often the row is there."""
     words = F.size(_words(F.col("text"), letters)).alias("n_words")
     values = F.array_distinct(F.transform("spans", _entity)).alias("values")
     # Beside a generator the words would be counted again for each value.
-    rows = found.where("h is not null").select("row_key", words, values)
-    each = rows.select("row_key", "n_words", F.explode("values").alias("entity"))
+    rows = found.where("h is not null").select("row_key", "h", words, values)
+    each = rows.select("row_key", "h", "n_words", F.explode("values").alias("entity"))
     return each.groupBy("row_key", "entity").agg(
-        F.count("*").alias("copies"), F.first("n_words").alias("n_words")
+        F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("h").alias("h")
     )
 
 
@@ -291,25 +284,98 @@ def disclosing_terms(
         entities = written(_entities(found, letters), "entities")
     if held is None:
         held = held_terms(found, judged_terms(pairs, support), letters, entities)
-    n_docs = F.lit(docs.count())
     n_e = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"))
     together = held.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
-    # Every document counts for n(t); what a task has read is added up before the shuffle.
-    everywhere = (
-        docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")), letters)).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
-    )
-    ic = F.log2(n_docs / F.col("n_e"))
-    shared = F.log2(F.col("n_t") / F.col("n_te"))
     return (
-        together.join(everywhere, "term")
+        together.join(_everywhere(docs, text_col, letters), "term")
         .join(n_e, "entity")
-        .select("entity", "term", F.when(ic > 0, 1 - shared / ic).otherwise(0.0).alias("disclosure"))
+        .select("entity", "term", _disclosure(docs.count()).alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
     )
 
 
+def _everywhere(docs: DataFrame, text_col: str, letters: int) -> DataFrame:
+    """``term, n_t``: every document counts; what a task has read is added up before the shuffle."""
+    words = _words(F.coalesce(F.col(text_col), F.lit("")), letters)
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def _disclosure(n_docs: int) -> Column:
+    ic = F.log2(F.lit(n_docs) / F.col("n_e"))
+    shared = F.log2(F.col("n_t") / F.col("n_te"))
+    return F.when(ic > 0, 1 - shared / ic).otherwise(0.0)
+
+
+def _classes(entities: DataFrame, support: int) -> DataFrame:
+    """``row_key, h, copies, entity, n_e, n``: values in the same rows are one, named for the first.
+
+    Rows are told apart by 128 bits. A value in fewer texts than ``support`` is on no pair.
+    """
+    row = F.xxhash64("row_key")
+    other = F.xxhash64(F.lit("other"), "row_key")
+    of_value = entities.groupBy("entity").agg(
+        F.sum(row.cast("decimal(20,0)")).alias("sum"),
+        F.bit_xor(other).alias("xor"),
+        F.count("*").alias("n"),
+        F.sum("copies").alias("n_e"),
+    )
+    # A value's rows are at least as many as its texts, so this leaves no pair out.
+    first = of_value.where(F.col("n") >= support).groupBy("sum", "xor", "n", "n_e").agg(F.min("entity").alias("entity"))
+    on = written(first.select("entity", "n", "n_e"), "classes")
+    return written(hot_join(entities, on.select("entity", "n_e", "n"), on, ["entity"], "row_key"), "class-rows")
+
+
+def disclosing_words(
+    docs: DataFrame,
+    found: DataFrame,
+    entities: DataFrame,
+    text_col: str,
+    support: int,
+    generalise: float,
+    letters: int = TERM_LETTERS,
+) -> DataFrame:
+    """``row_key, term, disclosure`` for each row and word that discloses a value of it, the most it does.
+
+    All words of a row are judged for all of its values, near or not. Of a pair, n(t, e) is at
+    most n(e), so its disclosure is above the threshold only if
+    log2 n(t) <= g log2 n(e) + (1 - g) log2 N; the others are dropped before rows meet values,
+    and values that are in the same rows are judged once.
+    """
+    n_docs = docs.count()
+    rows = _classes(entities, support)
+    bound = generalise * F.log2("n_e") + (1 - generalise) * F.log2(F.lit(max(n_docs, 1))) + 1e-9
+    rows = rows.withColumn("most", bound)
+    of_row = rows.groupBy("row_key").agg(F.max("most").alias("row_most"))
+    words = found.where("h is not null").select("row_key", F.explode(_words(F.col("text"), letters)).alias("term"))
+    words = words.distinct().join(of_row, "row_key")
+    counts = written(_everywhere(docs, text_col, letters).where(F.col("n_t") >= support), "terms")
+    # A term above the largest bound of all is on no pair; without values there is none.
+    largest = of_row.agg(F.max("row_most")).first()[0]
+    some = counts.where(F.log2("n_t") <= F.lit(largest))
+    few = hot_join(words, some, some.withColumnRenamed("n_t", "n"), ["term"], "row_key")
+    few = few.where(F.log2("n_t") <= F.col("row_most")).select("row_key", "term", "n_t")
+    held = few.join(rows, "row_key").where(F.log2("n_t") <= F.col("most"))
+    held = written(held.select("row_key", "h", "copies", "entity", "term", "n_e", "n_t"), "held")
+    told = (
+        held.groupBy("entity", "term", "h")
+        .agg(F.sum("copies").alias("copies"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+        .groupBy("entity", "term")
+        .agg(
+            F.count("*").alias("n_texts"),
+            F.sum("copies").alias("n_te"),
+            F.first("n_e").alias("n_e"),
+            F.first("n_t").alias("n_t"),
+        )
+        .where(F.col("n_texts") >= support)
+        .select("entity", "term", _disclosure(n_docs).alias("disclosure"))
+        .where(F.col("disclosure") >= generalise)
+    )
+    on = written(rows.groupBy("entity").agg(F.count("*").alias("n")), "on-rows")
+    return hot_join(held.select("row_key", "entity", "term"), told, on, ["entity"], "row_key", more=("term",)).select(
+        "row_key", "term", "disclosure"
+    )
+
+
 def _outside_values(holders: DataFrame, known: DataFrame) -> DataFrame:
     """``row_key, terms``: where the terms of ``known (row_key, term, removed)`` are, by start.
 
@@ -361,16 +427,18 @@ def _protected(
     found = found.withColumn(
         "row_key", F.when(F.col("h").isNotNull(), F.concat_ws(":", F.to_json(F.struct(F.col("carried.id"))), F.hex("h")))
     )
-    judged = written(judged_terms(near_terms(found, near, letters), support), "judged")
-    entities = written(_entities(found, letters), "entities")
-    held = written(held_terms(found, judged, letters, entities), "held")
-    told = disclosing_terms(docs, found, judged, text_col, support, generalise, held, letters, entities)
-    on = written(entities.groupBy("entity").agg(F.count("*").alias("n")), "on-rows")
+    entities = _entities(found, letters)
+    entities = written(entities.drop("n_words") if near is None else entities, "entities")
+    if near is None:
+        told = disclosing_words(docs, found, entities, text_col, support, generalise, letters)
+    else:
+        judged = written(judged_terms(near_terms(found, near, letters), support), "judged")
+        held = written(held_terms(found, judged, letters, entities), "held")
+        of_pair = disclosing_terms(docs, found, judged, text_col, support, generalise, held, letters, entities)
+        on = written(entities.groupBy("entity").agg(F.count("*").alias("n")), "on-rows")
+        told = hot_join(held, of_pair, on, ["entity"], "row_key", more=("term",))
     known = written(
-        hot_join(held, told, on, ["entity"], "row_key", more=("term",))
-        .groupBy("row_key", "term")
-        .agg(F.max(F.col("disclosure") >= remove).alias("removed")),
-        "known",
+        told.groupBy("row_key", "term").agg(F.max(F.col("disclosure") >= remove).alias("removed")), "known"
     )
     holders, others = found.where("h is not null"), found.where("h is null")
     repeated = entities.where("copies > 1").groupBy("row_key").agg(F.max("copies").alias("n"))
@@ -414,10 +482,10 @@ def find_personal_data(
     the same and after them the disclosing terms (kind ``term``). Places are code points
     from 0, the end exclusive.
 
-    Terms are words of at least ``letters`` letters, without case; those within ``near`` code
-    points of a value are judged for it if they are so in at least ``support`` different
-    texts (without ``near``, all terms of the texts that hold the value). Those that disclose
-    it are spans wherever they are in a row that holds the value.
+    Terms are words of at least ``letters`` letters, without case; all those of the texts that
+    hold a value are judged for it, if at least ``support`` different texts hold both. With
+    ``near``, only those are that stand within so many code points of the value in as many
+    texts. Those that disclose it are spans wherever they are in a row that holds the value.
     Statistics are over all rows. A null or empty text has no spans; repeated rows
     count as documents and are each reported, rows of a null id too; no rows give none.
     """

@@ -245,3 +245,52 @@ def test_a_row_and_a_value_on_a_third_of_the_table(spark, monkeypatch):
     got = find_personal_data(odd_docs(spark, rows, 5)).collect()
     assert len(got) == len(rows) and sum("term" in r.spans for r in got) == 298
     assert all(r.spans == "email:22:29,term:9:18" for r in got if r.doc_id == 1)
+
+
+def pairs_by_brute_force(rows, support=2, generalise=0.8, letters=4):
+    """Of each row, the words that disclose one of its values, by the definition on all pairs."""
+    words = [set(re.findall(rf"[^\W\d_]{{{letters},}}", t.lower())) for _, t in rows]
+    values = [{m[0].lower() for m in re.finditer(PATTERNS["email"], t)} for _, t in rows]
+    told = set()
+    for e in set().union(*values):
+        holders = [k for k, v in enumerate(values) if e in v]
+        ic = math.log2(len(rows) / len(holders))
+        for t in set().union(*(words[k] for k in holders)):
+            both = [k for k in holders if t in words[k]]
+            n_t = sum(t in w for w in words)
+            if len({rows[k][1] for k in both}) >= support and ic and 1 - math.log2(n_t / len(both)) / ic >= generalise:
+                told.add((e, t))
+    return [{t for e, t in told if e in v and t in w} for v, w in zip(values, words, strict=True)]
+
+
+def test_no_pair_above_the_threshold_is_left_out(spark):
+    far = "and so it goes on, " * 40
+    rows = [(1, f"Quillfeather {far} q@x.org"), (2, f"q@x.org {far} Quillfeather"), (3, f"nothing {far}")]
+    rows += [(k, f"number {k} {far}") for k in range(4, 20)]
+    spans = {r.doc_id: r.spans for r in find_personal_data(odd_docs(spark, rows)).collect()}
+    assert "term:0:12" in spans[1].split(",") and spans[2].endswith(f"term:{len(rows[1][1]) - 12}:{len(rows[1][1])}")
+    assert spans[3] == spans[4] == ""
+
+
+@pytest.mark.parametrize("options", [{}, {"support": 1, "generalise": 0.3, "letters": 2}])
+def test_words_of_random_rows_against_all_pairs(spark, options):
+    draw = random.Random(7)
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(2)) * 3
+    rows = []
+    for k in range(240):
+        near = [name(int(draw.paretovariate(0.35)) % 600) for _ in range(draw.randint(0, 60))]
+        mails = [f"{m}@{m}.org" for m in draw.sample(range(12), draw.choice((0, 0, 0, 1, 2)))]
+        mails += ["77@77.org", "78@78.org"] * (k % 40 == 0)  # two values of the same rows
+        near += [name(700 + int(m.split("@")[0])) for m in mails for _ in range(3) if draw.random() < 0.9]
+        rows.append((k, " ".join(draw.sample(near + mails, len(near + mails)))))
+    rows += rows[:20]
+    told = pairs_by_brute_force(rows, **options)
+    got = find_personal_data(odd_docs(spark, rows, 4), **options).collect()
+    seen = sorted(
+        (r.doc_id, sorted({t[int(a) : int(b)] for kind, a, b in (p.split(":") for p in r.spans.split(",") if p) if kind == "term"}))
+        for r in got
+        for t in [dict(rows)[r.doc_id]]
+    )
+    outside = lambda t: set(re.findall(r"[^\W\d_]+", re.sub(PATTERNS["email"], " ", t)))
+    assert seen == sorted((k, sorted(w & outside(t))) for (k, t), w in zip(rows, told, strict=True))
+    assert sum(map(bool, told)) > 5
