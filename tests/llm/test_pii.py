@@ -272,6 +272,14 @@ def test_no_pair_above_the_threshold_is_left_out(spark):
     assert spans[3] == spans[4] == ""
 
 
+def test_no_pair_above_the_threshold_is_left_in_a_text(spark):
+    far = "and so it goes on, " * 40
+    rows = [(1, f"Quillfeather {far} q@x.org"), (2, f"q@x.org {far} Quillfeather"), (3, f"nothing {far}")]
+    rows += [(k, f"number {k} {far}") for k in range(4, 20)]
+    clean = {r.doc_id: r.text for r in sanitise(odd_docs(spark, rows)).collect()}
+    assert clean[1] == f" {far} [EMAIL]" and clean[2] == f"[EMAIL] {far} " and clean[3] == rows[2][1]
+
+
 @pytest.mark.parametrize("options", [{}, {"support": 1, "generalise": 0.3, "letters": 2}])
 def test_words_of_random_rows_against_all_pairs(spark, options):
     draw = random.Random(7)
