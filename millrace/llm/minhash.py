@@ -357,14 +357,15 @@ def _pieces(docs, classes, groups, size, percent, block_classes, block_shingles)
         )
         return frame.groupBy("grp").agg(count.cast("int").alias(names))
 
-    # One text for each row told apart, whatever the number of its copies.
+    # One text for each row told apart, whatever the number of its copies. All texts are shuffled
+    # for this, so both rounds read what it finds.
     one = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
+    named = members.select("set_key", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
+    texts = written(named.join(one, ["doc_id", "text_hash"]).select("set_key", "text"), "texts")
 
     def compared(rows: DataFrame, pieces: bool) -> DataFrame:
-        named = rows.withColumns({"doc_id": F.col("rep.doc_id"), "text_hash": F.col("rep.text_hash")})
-        texts = named.join(one, ["doc_id", "text_hash"])
         columns = ["grp", "block", "set_key", "sketch", "piece", "minor", "text"]
-        dealt = texts.select(*columns).repartition("grp", "block").sortWithinPartitions("grp", "block")
+        dealt = rows.join(texts, "set_key").select(*columns).repartition("grp", "block").sortWithinPartitions("grp", "block")
         return dealt.mapInArrow(lambda b: _compared(b, size, percent, pieces), "a binary, b binary")
 
     # Every class with its block; a group's leader, its smallest class, is in all of them.
