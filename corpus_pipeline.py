@@ -40,9 +40,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and terms that disclose it taken out.
 
-    ``n_chars`` is that of the new text; a null or empty text stays as it is.
+    Terms that are with a value in one text alone are judged, too: near copies are gone, so
+    most values are in one. ``n_chars`` is that of the new text; a null or empty text stays as it is.
     """
-    clean = sanitise(docs)
+    clean = sanitise(docs, support=1)
     return clean.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -43,6 +43,8 @@ SUPPORT = 2
 TERM_LETTERS = 4
 GENERALISE = 0.8
 REMOVE = 0.95
+#: What rounding may take from the disclosure of a pair that just meets a threshold.
+ROUNDING = 1e-9
 
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 BLOCK = 256
@@ -167,9 +169,13 @@ def _entity(span: Column) -> Column:
 
 
 def _words(text: Column, letters: int = TERM_LETTERS) -> Column:
-    """The terms of a text: its different words of some letters, lowered."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-    return F.filter(words, lambda w: F.length(w) >= letters)
+    """The terms of a text: its different words of some letters, each lowered as if alone.
+
+    Of a text lowered whole, words differ from those in place: a dotted capital I becomes two
+    characters, one no letter, and a sigma's form depends on what follows the word.
+    """
+    words = F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.length(w) >= letters)
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.array_join(words, " ")), " ")), "")
 
 
 def _near(cells: Column, spans: Column, near: int, letters: int) -> Column:
@@ -290,7 +296,7 @@ def disclosing_terms(
         together.join(_everywhere(docs, text_col, letters), "term")
         .join(n_e, "entity")
         .select("entity", "term", _disclosure(docs.count()).alias("disclosure"))
-        .where(F.col("disclosure") >= generalise)
+        .where(F.col("disclosure") >= generalise - ROUNDING)
     )
 
 
@@ -368,7 +374,7 @@ def disclosing_words(
         )
         .where(F.col("n_texts") >= support)
         .select("entity", "term", _disclosure(n_docs).alias("disclosure"))
-        .where(F.col("disclosure") >= generalise)
+        .where(F.col("disclosure") >= generalise - ROUNDING)
     )
     on = written(rows.groupBy("entity").agg(F.count("*").alias("n")), "on-rows")
     return hot_join(held.select("row_key", "entity", "term"), told, on, ["entity"], "row_key", more=("term",)).select(
@@ -438,7 +444,7 @@ def _protected(
         on = written(entities.groupBy("entity").agg(F.count("*").alias("n")), "on-rows")
         told = hot_join(held, of_pair, on, ["entity"], "row_key", more=("term",))
     known = written(
-        told.groupBy("row_key", "term").agg(F.max(F.col("disclosure") >= remove).alias("removed")), "known"
+        told.groupBy("row_key", "term").agg(F.max(F.col("disclosure") >= remove - ROUNDING).alias("removed")), "known"
     )
     holders, others = found.where("h is not null"), found.where("h is null")
     repeated = entities.where("copies > 1").groupBy("row_key").agg(F.max("copies").alias("n"))

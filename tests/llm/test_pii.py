@@ -302,3 +302,22 @@ def test_words_of_random_rows_against_all_pairs(spark, options):
     outside = lambda t: set(re.findall(r"[^\W\d_]+", re.sub(PATTERNS["email"], " ", t)))
     assert seen == sorted((k, sorted(w & outside(t))) for (k, t), w in zip(rows, told, strict=True))
     assert sum(map(bool, told)) > 5
+
+
+def test_terms_in_capitals_that_lower_differently_in_a_text(spark):
+    rows = [(1, "İskenderoğlu is q@x.org"), (2, "q@x.org, İSKENDEROĞLU"), (3, "ΟΔΟΣ'Α is at r@x.org"), (4, "r@x.org ΟΔΟΣ now")]
+    rows += [(k, f"number {k}") for k in range(5, 30)]
+    clean = {r.doc_id: r.text for r in sanitise(odd_docs(spark, rows)).collect()}
+    assert clean[1] == " is [EMAIL]" and clean[2] == "[EMAIL], "
+    assert clean[3] == "'Α is at [EMAIL]" and clean[4] == "[EMAIL]  now"
+
+
+def test_pairs_that_just_meet_a_threshold(spark):
+    # Of 49 documents 36 hold the value, 7 the term, 6 both: log2(7 / 6) is half of log2(49 / 36).
+    rows = [(k, f"q@x.org {k}") for k in range(30)] + [(k, f"q@x.org Quillfeather {k}") for k in range(30, 36)]
+    rows += [(36, "Quillfeather"), *((k, f"{k}") for k in range(37, 49))]
+    docs = odd_docs(spark, rows)
+    clean = {r.doc_id: r.text for r in sanitise(docs, generalise=0.5, remove=0.9).collect()}
+    assert clean[30] == "[EMAIL] [TERM] 30" and clean[36] == "Quillfeather"
+    clean = {r.doc_id: r.text for r in sanitise(docs, generalise=0.3, remove=0.5).collect()}
+    assert clean[30] == "[EMAIL]  30" and clean[36] == "Quillfeather"

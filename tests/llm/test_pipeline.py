@@ -155,6 +155,15 @@ def test_stages_take_rows_of_all_kinds(spark, odd_dir, name):
         assert sorted(((k, list(ids)) for k, ids in got), key=str) == sorted(told, key=str)
 
 
+def test_terms_with_a_value_in_one_text_alone_are_judged(spark, odd_dir):
+    rows = [(1, "A lone Marigold writes from m@y.org today."), (2, "A lone Marigold."), (None, "m@y.org")]
+    rows += [(k, f"Somebody writes from somewhere today, {k}.") for k in range(3, 400)]
+    clean = {r.doc_id: r.text for r in stage_of(spark, "personal_data", odd_docs(spark, rows), odd_dir).collect()}
+    # Of 400 documents 2 hold the value, 2 each term, 1 both: 1 - log2(2 / 1) / log2(400 / 2) is 0.87.
+    assert clean[1] == "A [TERM] [TERM] writes from [EMAIL] today."
+    assert clean[2] == rows[1][1] and clean[3] == rows[3][1] and clean[None] == "[EMAIL]"
+
+
 @pytest.mark.parametrize("name", ["quality", "near_dedup", "decontaminate", "personal_data", "bpe"])
 def test_stages_take_an_empty_table(spark, odd_dir, name):
     assert stage_of(spark, name, empty_docs(spark), odd_dir).collect() == []
